@@ -85,8 +85,13 @@ class Reader:
             if not self.buffer and not self._more():
                 raise EOFError
             taken, self.buffer = self.buffer, b""
+            try:
+                piece = z.decompress(taken)
+            except zlib.error:  # the next member may begin in this block
+                self.buffer = taken[1:]
+                self.base += 1
+                raise
             self.base += len(taken)
-            piece = z.decompress(taken)
             if z.eof:
                 self.buffer = z.unused_data
                 self.base -= len(self.buffer)

@@ -20,7 +20,8 @@ SYMBOLS = "path string, symbol_idx int, kind string, name string, qualified_name
 BUDGET = 100_000
 
 _COMMON = r"(?:(?:export|default|public|private|protected|internal|static|final|abstract|async|unsafe|override|open|sealed|partial|pub(?:\([^)]*\))?|const|extern|inline|virtual|declare)\s+)*"
-_SHAPE = r"^[ \t]*(?!(?:if|for|while|switch|catch|return|else|do|new|throw|sizeof|synchronized|using|lock|foreach)\b)(?:[\w<>,.\[\]*&:~?@ \t]+[ \t*&])([A-Za-z_~]\w*)[ \t]*\([^;{}]*\)[^;{}=]*$"
+_NOT = r"(?!(?:if|for|while|switch|catch|return|else|do|new|throw|sizeof|synchronized|using|lock|foreach)\b)"
+_SHAPE = rf"^[ \t]*+{_NOT}(?:[\w<>,.\[\]*&:~?@ \t]+[ \t*&]){_NOT}([A-Za-z_~]\w*)[ \t]*\([^;{{}}]*\)[^;{{}}=]*$"
 DECLARATIONS: dict[str, list[tuple[str, str]]] = {
     "rust": [("function", _COMMON + r"fn\s+(\w+)"), ("struct", _COMMON + r"struct\s+(\w+)"), ("enum", _COMMON + r"enum\s+(\w+)"), ("trait", _COMMON + r"trait\s+(\w+)"), ("impl", r"impl(?:\s*<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(\w+)"), ("module", _COMMON + r"mod\s+(\w+)")],
     "javascript": [("function", _COMMON + r"function\s*\*?\s*(\w+)"), ("class", _COMMON + r"class\s+(\w+)"), ("interface", _COMMON + r"interface\s+(\w+)"), ("enum", _COMMON + r"enum\s+(\w+)"), ("function", _COMMON + r"(?:let|var|const)?\s*(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^()]*\)|\w+)\s*(?::[^=]+)?=>"), ("method", r"^[ \t]*(?:(?:async|static|get|set|public|private|protected|readonly)\s+)*(?!(?:if|for|while|switch|catch|function)\b)(\w+)\s*\([^;{}]*\)\s*(?::[^{]+)?$")],
@@ -402,3 +403,12 @@ def ast_search(files: DataFrame, pattern: str) -> DataFrame:
         return [(i, *x) for i, x in enumerate(out)]
 
     return _per_file(files.where("language = 'python' and text is not null"), work, "path string, match_idx int, start_line int, end_line int, captures map<string,string>", "text")
+
+
+def ignored(files: DataFrame) -> DataFrame:
+    """(path, start_byte, end_byte) of comments and literals in C and C++ files."""
+
+    def work(text, language):
+        return [(len(text[:a].encode()), len(text[:b].encode())) for a, b in ignored_ranges(text, language)]
+
+    return _per_file(files.where("language in ('c', 'cpp') and text is not null"), work, "path string, start_byte long, end_byte long", "text", "language")

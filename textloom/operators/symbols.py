@@ -10,6 +10,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.text import dedent, normalize, reindent
 from textloom.operators.identifiers import identifiers
 
 BUCKETS = 256
@@ -155,3 +156,41 @@ def map_detail(symbols: DataFrame) -> DataFrame:
         fits = F.col(t) <= kib * 1024
         tier, used = F.when(fits, t).otherwise(tier), F.when(fits, F.col(t)).otherwise(used)
     return size.select("path", tier.alias("tier"), used.alias("bytes"))
+
+
+def replace(files: DataFrame, symbols: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(path, new_text, outcome): the lines of a symbol replaced by a new body (path, symbol, body), which takes the indentation of the
+    symbol's first line. ``symbol`` is a name or qualified name; outcome is ok, not-found or ambiguous, and new_text null but for ok."""
+    hits = bodies.join(symbols, "path", "left").where((F.col("name") == F.col("symbol")) | (F.col("qualified_name") == F.col("symbol")))
+    best = hits.groupBy("path", "symbol").agg(F.count("*").alias("n"), F.min("start_line").alias("start_line"), F.min_by("end_line", "start_line").alias("end_line"))
+    rows = files.join(bodies, "path").join(best, ["path", "symbol"], "left")
+    lines = F.split("text", "\n", -1)
+    first = F.get(lines, F.col("start_line") - 1)
+    body = reindent(dedent(normalize(F.col("body"))), F.regexp_extract(first, "^([ \t]*)", 1))
+    spliced = F.concat(F.slice(lines, F.lit(1), F.col("start_line") - 1), F.array(body), F.slice(lines, F.col("end_line") + 1, F.size(lines)))
+    outcome = F.when(F.col("n").isNull(), "not-found").when(F.col("n") > 1, "ambiguous").otherwise("ok")
+    return rows.select("path", F.when(outcome == "ok", F.array_join(spliced, "\n")).alias("new_text"), outcome.alias("outcome"))
+
+
+def grep_windows(found: DataFrame, symbols: DataFrame, around: int | None = None) -> DataFrame:
+    """(path, symbol_name, start_line, end_line, matches): what a search shows of each enclosing symbol: all of it, or with ``around`` the
+    lines near matches, clipped to the symbol, windows that touch being one. Matches outside of symbols form windows of their own."""
+    placed = enclosing_first(found, symbols)
+    if around is None:
+        whole = placed.withColumn("start_line", F.coalesce("symbol_start_line", "line")).withColumn("end_line", F.coalesce("symbol_end_line", "line"))
+        return whole.groupBy("path", "symbol_name", "start_line", "end_line").agg(F.count("*").alias("matches"))
+    low = F.greatest(F.lit(1), F.coalesce("symbol_start_line", F.lit(1)), F.col("line") - around)
+    high = F.least(F.coalesce(F.col("symbol_end_line"), F.col("line") + around), F.col("line") + around)
+    w = Window.partitionBy("path", "symbol_name", "symbol_start_line").orderBy("low", "line")
+    rows = placed.withColumn("low", low).withColumn("high", high)
+    rows = rows.withColumn("new", F.when(F.col("low") <= F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, 0).otherwise(1))
+    rows = rows.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("path", "symbol_name", "symbol_start_line", "island").agg(F.min("low").alias("start_line"), F.max("high").alias("end_line"), F.count("*").alias("matches")).select("path", "symbol_name", "start_line", "end_line", "matches")
+
+
+def outside(spans: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Spans (path, byte) that no range (path, start_byte, end_byte) holds; the end is outside. Ranges don't nest or overlap, so one ordered
+    pass finds the last one that began."""
+    both = ranges.select("path", F.col("start_byte").alias("at"), F.lit(0).alias("kind"), F.col("end_byte")).unionByName(spans.select("path", F.col("byte").alias("at"), F.lit(1).alias("kind")), allowMissingColumns=True)
+    w = Window.partitionBy("path").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("e", F.last("end_byte", True).over(w)).where((F.col("kind") == 1) & (F.col("e").isNull() | (F.col("at") >= F.col("e")))).select("path", F.col("at").alias("byte"))

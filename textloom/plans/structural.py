@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import edits as E
-from textloom.operators import parsing, rename
+from textloom.operators import identifiers, output, parsing, rename
 from textloom.operators import lines as L
 from textloom.operators import symbols as Y
 from textloom.plans import sql as S
@@ -300,3 +300,77 @@ def code_rename_conflicts(spark, sf):
     return parsing.rename_conflicts(parsing.bindings(_code(spark)), at, "x").join(parsing.bindings(_code(spark)).where("line in (4, 5)").select("path", "line", "column"), ["path", "line", "column"], "left_semi")
 
 
+
+
+@query(_values([("a.c", 14), ("a.c", 26)], "path, byte"))
+def code_references_outside_comments(spark, sf):
+    text = 'int f; /* n */n = 1; /* */n(); char *s = "n"; // n\n'
+    files = spark.createDataFrame([("a.c", "c", text)], "path string, language string, text string")
+    found = files.select("path", F.explode(identifiers.spans(F.col("text"))).alias("s")).where("s.token = 'n'").select("path", F.col("s.byte").cast("long").alias("byte"))
+    return Y.outside(found, parsing.ignored(files)).withColumn("byte", F.col("byte").cast("int"))
+
+
+@query(f"""WITH {_CHAT}, one AS (SELECT * FROM symbols WHERE qualified_name = 'conversation.turn_1'), k AS (SELECT f.path, string_split(f.text, chr(10)) AS l, o.start_line AS s, o.end_line AS e FROM files f LEFT JOIN one o USING (path))
+SELECT path, CASE WHEN s IS NULL THEN NULL ELSE array_to_string(list_concat(list_concat(l[1:s - 1], ['a' || chr(10) || '  b']), l[e + 1:]), chr(10)) END AS new_text, CASE WHEN s IS NULL THEN 'not-found' ELSE 'ok' END AS outcome FROM k""")
+def replace_symbol(spark, sf):
+    files = corpus.chat_files(spark, sf)
+    bodies = files.select("path", F.lit("conversation.turn_1").alias("symbol"), F.lit("    a\n      b").alias("body"))
+    return Y.replace(files, corpus.chat_symbols(spark, sf), bodies)
+
+
+_WINDOWS = f"""WITH {_DOC}, hits AS (SELECT path, line, text FROM lines WHERE contains(text, 'of the')), {S.enclosing('hits', S.FIRST)}, p AS (SELECT h.path, h.line, symbol_name AS n, symbol_start_line AS s, symbol_end_line AS e FROM hits h LEFT JOIN inside USING (path, line))"""
+
+
+@query(_WINDOWS + " SELECT path, n AS symbol_name, coalesce(s, line) AS start_line, coalesce(e, line) AS end_line, count(*) AS matches FROM p GROUP BY ALL")
+def grep_whole_symbols(spark, sf):
+    files = corpus.document_files(spark, sf)
+    return Y.grep_windows(L.grep(files, "of the", literal=True), corpus.block_symbols(files))
+
+
+@query(_WINDOWS + """, w AS (SELECT path, n, s, line, greatest(1, s, line - 1) AS low, least(e, line + 1) AS high FROM p),
+m AS (SELECT *, CASE WHEN low <= max(high) OVER (PARTITION BY path, n, s ORDER BY low, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM w),
+i AS (SELECT *, sum(new) OVER (PARTITION BY path, n, s ORDER BY low, line ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT path, n AS symbol_name, min(low)::int AS start_line, max(high)::int AS end_line, count(*) AS matches FROM i GROUP BY path, n, s, island""")
+def grep_symbol_windows(spark, sf):
+    files = corpus.document_files(spark, sf)
+    return Y.grep_windows(L.grep(files, "of the", literal=True), corpus.block_symbols(files), 1)
+
+
+@query(f"""WITH {_DOC}, {S.occurrences('the')}, {S.enclosing('occ', S.LAST)}, {S.hashes('occ')}
+SELECT path, line, "column", hash, text, symbol_kind AS kind, symbol_name AS name, symbol_qualified_name AS qualified_name FROM occ JOIN hashed USING (text) LEFT JOIN inside USING (path, line)""")
+def compact_references(spark, sf):
+    files = corpus.document_files(spark, sf)
+    return output.compact_locations(Y.enclosing(identifiers.occurrences(files, "the"), corpus.block_symbols(files)))
+
+
+@query(f"""WITH {S.DOCS}, {S.LINES}, {S.occurrences('that')} SELECT path || ':' || line || ':' || "column" || ': ' || text AS entry FROM occ""")
+def quickfix_list(spark, sf):
+    return output.quickfix(identifiers.occurrences(corpus.document_files(spark, sf), "that", hashed=False))
+
+
+@query(f"""WITH {_CHAT} SELECT path, '{{"path":"' || path || '","symbol_idx":' || symbol_idx || ',"kind":"' || kind || '","start_line":' || start_line || '}}' AS json FROM symbols""")
+def symbols_as_json(spark, sf):
+    return output.as_json(corpus.chat_symbols(spark, sf).select("path", "symbol_idx", "kind", "start_line"))
+
+
+@query(f"""WITH {S.DOCS}, {S.LINES}, {S.occurrences('that')} SELECT path, count(*)::int AS n, arg_min(line, (line, "column")) AS first_line, arg_max("column", (line, "column")) AS last_column FROM occ GROUP BY path""")
+def nested_matches(spark, sf):
+    found = output.nested(identifiers.occurrences(corpus.document_files(spark, sf), "that", hashed=False), ["line", "column"])
+    return found.select("path", F.size("matches").alias("n"), F.col("matches")[0]["line"].alias("first_line"), F.element_at("matches", -1)["column"].alias("last_column"))
+
+
+@query(f"""WITH {S.CHATS} SELECT path, CASE WHEN length(text) % 3 = 0 THEN NULL ELSE CASE WHEN length(text) % 2 = 0 THEN chr(65279) ELSE '' END || CASE WHEN length(text) % 5 = 0 THEN replace(text || chr(10), chr(10), chr(13) || chr(10)) ELSE text || chr(10) END END AS written FROM files""")
+def restore_line_ends(spark, sf):
+    n = F.char_length("text")
+    original = F.concat(F.when(n % 2 == 0, F.lit("\ufeff")).otherwise(""), F.when(n % 5 == 0, F.lit("a\r\nb\r\n")).otherwise("a\nb\r\n"))
+    new = F.when(n % 3 == 0, F.concat("text", F.lit("\rx"))).otherwise(F.concat("text", F.lit("\n")))
+    files = corpus.chat_files(spark, sf).select("path", original.alias("original"), new.alias("new"))
+    return E.restore_line_ends(files, "original", "new").select("path", "written")
+
+
+@query(_values([("a.py", 1, 0)], "path, errors, missing"))
+def syntax_regressions(spark, sf):
+    before = _code(spark)
+    after = before.withColumn("text", F.when(F.col("path") == "a.py", F.concat("text", F.lit("def (\n"))).otherwise(F.col("text")))
+    out = parsing.regressions(parsing.diagnostics(before), parsing.diagnostics(after))
+    return out.select("path", F.col("errors").cast("int").alias("errors"), F.col("missing").cast("int").alias("missing"))

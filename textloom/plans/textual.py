@@ -243,3 +243,16 @@ def classify_content(spark, sf):
     content = F.when(m == 1, F.concat(F.lit(b"%PDF-1.7\n"), body)).when(m == 2, F.concat(F.lit(b"a\x00"), body)).when(m == 4, F.concat(F.lit(b"\x89PNG\r\n\x1a\n"), body)).otherwise(body)
     mime = F.when(m == 3, F.lit("application/zip"))
     return corpus.read(spark, sf, "pages").select("page_id", detect.category(content, mime).alias("category"))
+
+
+@query(rf"""WITH {S.CHATS}, l AS (SELECT path, string_split(text, chr(10)) AS l FROM files), m AS (SELECT path, l, coalesce(list_min(list_transform(list_filter(l, lambda x: trim(replace(x, chr(9), ' ')) <> ''), lambda x: length(regexp_extract(x, '^[ \t]*')))), 0) AS n FROM l)
+SELECT path, array_to_string(list_transform(l, lambda x: CASE WHEN trim(replace(x, chr(9), ' ')) = '' THEN '' ELSE substr(x, n + 1) END), chr(10)) AS bare, array_to_string(list_transform(l, lambda x: CASE WHEN x = '' THEN '' ELSE '  ' || x END), chr(10)) AS deeper FROM m""")
+def dedent_and_reindent(spark, sf):
+    c = F.col("text")
+    return corpus.chat_files(spark, sf).select("path", T.dedent(T.reindent(c, F.lit("    "))).alias("bare"), T.reindent(c, F.lit("  ")).alias("deeper"))
+
+
+@query(rf"""WITH {S.CHATS} SELECT path, text AS bare FROM files""")
+def strip_copied_prefixes(spark, sf):
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat((i + 1).cast("string"), F.lit(":0af|"), x))
+    return corpus.chat_files(spark, sf).select("path", T.strip_copied_prefixes(F.array_join(numbered, "\n")).alias("bare"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import cache, outline
+from textloom.operators import cache, outline, vision
 from textloom.operators import edits as E
 from textloom.sources import corpus, detect
 from textloom.streaming import incremental
@@ -171,3 +171,23 @@ def session_state(spark, sf):
 def fresh_edits(spark, sf):
     events = _sessions(spark, sf)
     return E.fresh_only(events, incremental.session_state(events).where("fresh")).select("session", "path", "seq")
+
+
+_TILES = """WITH t AS (SELECT vec_id // 16 AS image, (vec_id % 16 // 4)::int AS y, (vec_id % 4)::int AS x, embedding FROM embeddings), u AS (SELECT image, y // 2 AS tile_y, x // 2 AS tile_x, y % 2 * 2 + x % 2 AS cell, embedding FROM t),
+p AS (SELECT a.image, a.tile_y, a.tile_x, a.cell AS first, b.cell AS second, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) AS score FROM u a JOIN u b ON a.image = b.image AND a.tile_y = b.tile_y AND a.tile_x = b.tile_x AND a.cell < b.cell),
+best AS (SELECT image, tile_y, tile_x, first, second FROM (SELECT *, row_number() OVER (PARTITION BY image, tile_y, tile_x ORDER BY score DESC, first, second) AS n FROM p) WHERE n = 1)"""
+
+
+def _tokens(spark, sf):
+    v = F.col("vec_id")
+    return corpus.read(spark, sf, "embeddings").select(F.expr("vec_id div 16").alias("image"), F.expr("cast(vec_id % 16 div 4 as int)").alias("y"), (v % 4).cast("int").alias("x"), "embedding")
+
+
+@query(_TILES + " SELECT image, tile_y, tile_x, first, second FROM best")
+def closest_token_pairs(spark, sf):
+    return vision.closest_pairs(_tokens(spark, sf)).drop("score")
+
+
+@query(_TILES + ", g AS (SELECT u.*, best.first, best.second FROM u LEFT JOIN best USING (image, tile_y, tile_x)) SELECT image, (tile_y * 2 + cell // 2)::int AS y, (tile_x * 2 + cell % 2)::int AS x, CASE WHEN cell = first THEN 2 ELSE 1 END AS mass FROM g WHERE second IS NULL OR cell <> second")
+def merged_tokens(spark, sf):
+    return vision.merge_closest(_tokens(spark, sf)).drop("embedding")

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import buffers
-from .workspace import fresh, q
+from .workspace import fresh, q, small_batches
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
 UNK_PENALTY = 10.0
-CACHE = 300_000
+CACHE = 200_000
 VECTOR_BYTES = 96
 
 
@@ -387,6 +387,7 @@ def encode(df: DataFrame, text: str, path: str = DEFAULT_MODEL, ids: str = "ids"
     byte; only a text that holds U+2581 itself, or any character unknown to a model without byte pieces, doesn't).
     A null text has null in all three, an empty one no ids. No shuffle. Names that ``df`` has get leading
     underscores."""
+    small_batches(df.sparkSession)
     a, b, c = fresh(df, ids), fresh(df, "n_tokens"), fresh(df, "round_trip")
     body = df.select(*(q(x) for x in df.columns), q(text).alias(a))
     return body.mapInArrow(Codec(PieceModel(path)), _schema(df, f"`{a}` array<int>", f"`{b}` long", f"`{c}` boolean"))
@@ -394,5 +395,6 @@ def encode(df: DataFrame, text: str, path: str = DEFAULT_MODEL, ids: str = "ids"
 
 def decode(df: DataFrame, ids: str, path: str = DEFAULT_MODEL, out: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids``; null for null."""
+    small_batches(df.sparkSession)
     a = fresh(df, out)
     return df.select(*(q(x) for x in df.columns), q(ids).alias(a)).mapInArrow(Decoder(PieceModel(path)), _schema(df, f"`{a}` string"))

@@ -33,6 +33,7 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables = 0
+        small_batches(spark)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         self.tables += 1
@@ -60,6 +61,14 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Python workers take 2,000 rows at a time instead of Spark's 10,000, which for long texts are tens of
+    megabytes on both sides of the pipe; a session that sets the number itself keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -69,8 +69,8 @@ def apply(edits: DataFrame, rows: DataFrame) -> DataFrame:
     """(path, new_text, changed) of every file with edits that all hold; a file with a conflict or an overlap is left out.
 
     Lines taken by an edit go, its text stands in the place of the first of them, inserted text behind its line, in order of
-    edit_idx; the splice is one sorted aggregation a file. Equal edits count once. A file's last line break stays as it was,
-    as lines are joined by LF and ``rows`` carry none."""
+    edit_idx; the splice is one sorted aggregation a file. Equal edits count once. Lines are joined by LF and none
+    follows the last, as ``rows`` don't tell whether one did."""
     unique = edits.dropDuplicates(["path", "op", "start_line", "end_line", "new_text"])
     bad = verify(unique, rows).where("conflict is not null").select("path").unionByName(overlaps(unique).select("path")).distinct()
     good = unique.join(bad, "path", "left_anti")
@@ -193,3 +193,24 @@ def fresh_only(edits: DataFrame, anchored: DataFrame) -> DataFrame:
     return edits.join(anchored, ["session", "path"], "left_semi")
 
 
+
+
+def apply_relocating(edits: DataFrame, rows: DataFrame) -> DataFrame:
+    """As ``apply``, but an edit of one line whose anchor is stale moves to the one line near it that has its hash; edits that find no
+    such line, or several, keep their file from being changed."""
+    single = edits.where("end_line is null")
+    state = verify(single, rows).where("conflict is not null")
+    stale = single.join(state, ["path", "edit_idx"], "left_semi").select("path", "edit_idx", F.col("start_line").alias("line"), F.col("start_hash").alias("hash"))
+    moved = relocate(stale, rows).select("path", "edit_idx", "new_line")
+    out = edits.join(moved, ["path", "edit_idx"], "left").withColumn("start_line", F.coalesce("new_line", "start_line")).select(*edits.columns)
+    return apply(out, rows)
+
+
+def syntax_gate(applied: DataFrame, worse: DataFrame, mode: str = "warn") -> DataFrame:
+    """Edited files with ``warning``; in mode ``block`` files whose syntax got worse (path) are left out, in ``off`` nothing is checked."""
+    if mode not in ("warn", "block", "off"):
+        raise ValueError("mode is warn, block or off")
+    if mode == "off":
+        return applied.withColumn("warning", F.lit(False))
+    marked = applied.join(worse.select("path", F.lit(True).alias("w")).distinct(), "path", "left").withColumn("warning", F.coalesce("w", F.lit(False))).drop("w")
+    return marked.where("not warning") if mode == "block" else marked

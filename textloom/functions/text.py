@@ -68,7 +68,10 @@ def tokens(text: Column) -> Column:
 
 def token_similarity(a: Column, b: Column) -> Column:
     """Shared tokens over the larger token set; 0 if either has none."""
-    ta, tb = tokens(a), tokens(b)
+    return set_similarity(tokens(a), tokens(b))
+
+
+def set_similarity(ta: Column, tb: Column) -> Column:
     most = F.greatest(F.size(ta), F.size(tb))
     return F.when((F.size(ta) > 0) & (F.size(tb) > 0), F.size(F.array_intersect(ta, tb)) / most).otherwise(F.lit(0.0))
 

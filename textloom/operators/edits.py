@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import eol_majority, token_similarity
+from textloom.functions.text import eol_majority, set_similarity, tokens
 
 SIMILAR, RELOCATE, SPAN = 0.3, 0.8, 50
 
@@ -39,10 +39,11 @@ def relocate(stale: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _band(wanted: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """Pairs of (path, edit_idx, line, ``column``) and lines within 50 of it: joined on path and bins of 50 lines."""
-    bins = wanted.withColumn("bin", F.explode(F.array(*(F.floor(F.col("line") / SPAN) + d for d in (-1, 0, 1)))))
-    near = rows.select("path", F.floor(F.col("line") / SPAN).alias("bin"), F.col("line").alias("near_line"), F.col("text").alias("near_text"))
-    return bins.join(near, ["path", "bin"]).where(F.abs(F.col("near_line") - F.col("line")) <= SPAN).drop("bin").withColumn("similarity", token_similarity(F.col(column), F.col("near_text")))
+    """Pairs of (path, edit_idx, line, ``column``) and lines within 50 of it: joined on path and bins of 50 lines. Each line is cut
+    into tokens once, before the join."""
+    bins = wanted.withColumn("wanted_tokens", tokens(F.col(column))).withColumn("bin", F.explode(F.array(*(F.floor(F.col("line") / SPAN) + d for d in (-1, 0, 1)))))
+    near = rows.select("path", F.floor(F.col("line") / SPAN).alias("bin"), F.col("line").alias("near_line"), tokens(F.col("text")).alias("near_tokens"))
+    return bins.join(near, ["path", "bin"]).where(F.abs(F.col("near_line") - F.col("line")) <= SPAN).drop("bin").withColumn("similarity", set_similarity(F.col("wanted_tokens"), F.col("near_tokens")))
 
 
 def relocate_fuzzy(wanted: DataFrame, rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 PATTERNS: dict[str, list[tuple[str, str]]] = {
     "markdown": [("heading", r"^ {0,3}#{1,6}[ \t]+(.*?)[ \t]*#*[ \t]*$")],
     "make": [("target", r"^([A-Za-z0-9_./%-]+)[ \t]*:(?:[^=]|$)")],
-    "just": [("recipe", r"^@?([A-Za-z_][A-Za-z0-9_-]*)(?:[ \t]+[^:=]*)?:(?:[^=]|$)")],
+    "just": [("recipe", r"""^@?([A-Za-z_][A-Za-z0-9_-]*)(?:[ \t]+(?:[^:'"]|'[^']*'|"[^"]*")*)?:(?:[^=]|$)""")],
     "kconfig": [("config", r"^[ \t]*config[ \t]+([A-Za-z0-9_]+)"), ("menuconfig", r"^[ \t]*menuconfig[ \t]+([A-Za-z0-9_]+)"), ("menu", r'^[ \t]*menu[ \t]+"([^"]*)"')],
     "bash": [("function", r"^[ \t]*(?:function[ \t]+([A-Za-z_][A-Za-z0-9_:-]*)|([A-Za-z_][A-Za-z0-9_:-]*)[ \t]*\(\))")],
     "vimscript": [("function", r"^[ \t]*(?:export[ \t]+)?(?:fu|func|function|def)!?[ \t]+([A-Za-z_][A-Za-z0-9_:#.]*)")],

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.line_ranges import SCANNERS
+
 SYMBOLS = "path string, symbol_idx int, kind string, name string, qualified_name string, start_line int, end_line int"
 BUDGET = 100_000
 
@@ -114,7 +116,7 @@ def symbols(files: DataFrame) -> DataFrame:
 
     def work(text, language):
         try:
-            found = python_symbols(text) if language == "python" else brace_symbols(text, language) if language in DECLARATIONS else []
+            found = python_symbols(text) if language == "python" else brace_symbols(text, language) if language in DECLARATIONS else SCANNERS[language](text) if language in SCANNERS else []
         except (SyntaxError, ValueError, RecursionError):
             found = []
         return [(i, *s) for i, s in enumerate(found)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import cache, parsing, symbols
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2  # 1 had no symbols of line-oriented languages and Ruby
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -148,6 +148,34 @@ def test_near_groups_against_all_pairs(spark, corpus):
         assert want[at[doc]] == want[at[group]] and kept == (doc == group) and group <= doc
 
 
+def test_a_list_of_its_words_is_no_copy(spark):
+    a = words(200, 31)
+    listed = " ".join(sorted(set(a.split())))
+    edited = a.split()
+    edited[50:53], edited[120] = ["other", "new", "words"], "changed"
+    rows = [(1, listed), (2, a), (3, " ".join(edited)), (4, a.upper()), (5, "one two"), (6, "two one"), (7, "Two, one")]
+    fp, _ = simhash.fingerprints(pa.array([t for _, t in rows]))
+    assert (fp[0] == fp[1]).all() and simhash.distance(fp[1], fp[2]) <= simhash.THRESHOLD and (fp[4] == fp[5]).all()
+    got = {(r.doc_id, r.group_id, r.group_size) for r in simhash.near_duplicates(frame(spark, rows), "doc_id", "text").collect()}
+    assert got == {(2, 2, 3), (3, 2, 3), (4, 2, 3), (6, 6, 2), (7, 6, 2)}
+    assert sorted(r.doc_id for r in simhash.keep_one(frame(spark, rows), "doc_id", "text").collect()) == [1, 2, 5, 6]
+
+
+def test_sketches_estimate_shared_sequences():
+    a = words(600, 77).split()
+    share, texts = [], [" ".join(a)]
+    for k in (0, 100, 300, 500, 600):
+        b = words(k, 78).split() + a[k:]
+        texts.append(" ".join(b))
+        x, y = ({tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in (a, b))
+        share.append(len(x & y) / len(x | y))
+    w = kernel.Words(*kernel.buffers(pa.array(texts))[:2], kernel.ALNUM)
+    s = simhash.sketches(w, len(texts))
+    estimate = [np.mean(s[0] == s[k]) for k in range(1, 6)]
+    assert np.abs(np.array(estimate) - share).max() < 0.2
+    assert simhash.alike(s[[0] * 4], s[1:5]).tolist() == [e >= simhash.SHARED for e in estimate[:4]] and not simhash.alike(s[:1], s[5:]).any()
+
+
 def test_link_never_joins_beyond_the_threshold():
     import pandas as pd
 

@@ -309,3 +309,17 @@ def test_spotsigs_edges(spark):
     s = "the cat sat quickly a dog ran home an owl flew away "
     check_spotsigs(spark, [(1, s), (2, s + "the x y z"), (3, s.upper()), (4, None), (5, ""), (6, "the the the"), (None, s), (7, s * 2000), (8, "le chat noir dort bien une fois encore ici")])
     assert spotsigs.similar_pairs(frame(spark, []), "doc_id", "text").count() == 0
+
+
+def test_spotsigs_names_partners_of_every_copy(spark):
+    a = "the cat sat quickly a dog ran home an owl flew away the fox hid well "
+    rows = [(5, a), (3, a.upper()), (9, a), (2, a + "the red green blue"), (7, a + "the red green blue"), (1, "the sun rose early a moon set late"), (8, "the sun rose early a moon set late")]
+    sets = {i: slow_signatures(t) for i, t in rows}
+    want = {(x, y) for x, y in itertools.combinations(sorted(sets), 2) if len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= spotsigs.THRESHOLD}
+    got = spotsigs.similar_pairs(frame(spark, rows), "doc_id", "text").collect()
+    near = [r for r in got if r.doc_ids is not None]
+    pairs = {tuple(sorted((x, y))) for r in near for x in r.doc_ids for y in r.other_ids}
+    assert near and all(r.doc_id == r.doc_ids[0] and r.other_id == r.other_ids[0] for r in near) and (7, 9) in pairs
+    for first in {r.other_id for r in got if r.doc_ids is None}:
+        pairs |= set(itertools.combinations(sorted([first, *(r.doc_id for r in got if r.doc_ids is None and r.other_id == first)]), 2))
+    assert pairs == want

@@ -95,10 +95,12 @@ def prefix(hot: np.ndarray, threshold: float):
 
 
 def similar_pairs(df: DataFrame, ident: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, other_id, jaccard) of documents whose signature sets have a Jaccard similarity of ``threshold`` or more.
+    """(doc_id, other_id, jaccard, doc_ids, other_ids) of documents whose signature sets have a Jaccard similarity of ``threshold`` or more.
 
     Sets that are equal are one vertex: each further document with the same set is paired with the first one of it (lowest
-    id) at 1.0, and pairs of unequal sets name their first documents; all pairs follow from these.
+    id) at 1.0, and pairs of unequal sets name their first documents and list all documents of either set, in order, in ``doc_ids`` and
+    ``other_ids``: each of the one is a partner of each of the other. These are null where sets are equal, as a list for each
+    of many copies would grow with their square; the copies of a set are the rows at 1.0 of the same ``other_id``.
     Candidates: two sets can only reach the threshold if their sizes differ by no more than it allows and if they
     share one of their rarest signatures (see ``prefix``), whose positions bound the possible overlap. Signatures
     that more than 64 sets hold come last in that order. Documents without a signature, null texts and null ids take no part.
@@ -109,7 +111,7 @@ def similar_pairs(df: DataFrame, ident: str, text: str, threshold: float = THRES
     # sets are told apart by their contents, not by a hash of them
     unique = ws.table(sets.where("size(sigs) > 0").groupBy("sigs").agg(F.array_sort(F.collect_list("doc_id")).alias("docs")).select(F.col("docs")[0].alias("first"), "docs", "sigs").withColumn("set_id", F.monotonically_increasing_id()), "sets")
     equal = unique.where("size(docs) > 1").select(F.col("first").alias("other_id"), F.explode(F.slice("docs", 2, F.size("docs") - 1)).alias("doc_id"))
-    equal = equal.select("doc_id", "other_id", F.lit(1.0).alias("jaccard"))
+    equal = equal.select("doc_id", "other_id", F.lit(1.0).alias("jaccard"), F.lit(None).cast("array<bigint>").alias("doc_ids"), F.lit(None).cast("array<bigint>").alias("other_ids"))
     # only the order of signatures depends on this list, so a bounded one is as right as a full one
     hot = unique.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > HOT).orderBy(F.desc("n"), "sig").limit(MAX_HOT).collect()
     order = np.sort(np.array([r.sig for r in hot], np.int64))
@@ -119,8 +121,8 @@ def similar_pairs(df: DataFrame, ident: str, text: str, threshold: float = THRES
     reach = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
     pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size") - 1e-9) & (reach >= bound))
     pairs = ws.table(pairs.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct(), "candidates")
-    side = lambda n: unique.select(F.col("set_id").alias(n), F.col("first").alias(f"d{n}"), F.col("sigs").alias(f"s{n}"))
+    side = lambda n: unique.select(F.col("set_id").alias(n), F.col("first").alias(f"d{n}"), F.col("docs").alias(f"m{n}"), F.col("sigs").alias(f"s{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("double")
-    scored = both.select(F.greatest("da", "db").alias("doc_id"), F.least("da", "db").alias("other_id"), (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard"))
+    scored = both.select(F.greatest("da", "db").alias("doc_id"), F.least("da", "db").alias("other_id"), (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard"), F.when(F.col("da") > F.col("db"), F.col("ma")).otherwise(F.col("mb")).alias("doc_ids"), F.when(F.col("da") > F.col("db"), F.col("mb")).otherwise(F.col("ma")).alias("other_ids"))
     return equal.unionByName(scored.where(F.col("jaccard") >= threshold))

@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 32 << 20
+#: Rows of one key that one task joins; a key with more is spread over several tasks.
+SALT_ROWS = 100_000
+HOT_KEYS = 10_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -55,10 +57,24 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, marked for broadcast if its counted rows stay under ``limit`` bytes; beyond that the join
-    shuffles both sides. ``df`` should be a stored table, as it is counted here."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], ws: Workspace, how: str = "inner", counts: DataFrame | None = None, most: int = SALT_ROWS) -> DataFrame:
+    """``left`` joined with ``right``, which has each key at most once, by shuffle. A key with more than ``most`` rows of ``left``, and
+    more than a ten thousandth of all, is spread over salts and its row of ``right`` repeated for each, so no task takes them all. There
+    are fewer than 10,000 such keys, whatever the input: only these are broadcast. ``left`` should be a stored table; ``counts`` (keys,
+    n) saves counting it."""
+    counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(most, total // HOT_KEYS)
+    if total <= limit:
+        return left.join(right, keys, how)
+    hot = ws.table(counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("salts")), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    salts, salt = fresh(left, "join_salts"), fresh(left, "join_salt")
+    hot = F.broadcast(hot.withColumnRenamed("salts", salts))
+    a = left.join(hot, keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*(q(c) for c in left.columns)), q(salts)), F.lit(0)).cast("int")).drop(salts)
+    b = right.join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(q(salts) - 1, F.lit(0))))).drop(salts)
+    return a.join(b, [*keys, salt], how).drop(salt)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -84,3 +100,8 @@ def fresh(df: DataFrame, name: str) -> str:
 def q(name: str) -> Column:
     """A column by its exact name, dots and blanks included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def typed(df: DataFrame, *more: str) -> str:
+    """The schema of ``df`` as text, with more columns behind."""
+    return ", ".join([*(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in df.columns), *more])

@@ -23,7 +23,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.similar_pairs(documents(spark, sf_dir), "doc_id", "text")
+    return spotsigs.similar_documents(documents(spark, sf_dir), "doc_id", "text")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Deduplication operators against brute force."""
 
+import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -74,22 +76,48 @@ def test_chunks_are_content_defined():
     assert chunks.chunk_bounds(raw, np.array([0, len(a), len(a) + len(b)]))[2].tolist() == x + y
 
 
-def test_equal_hashes_are_not_trusted(spark, monkeypatch):
-    """With all chunk and recipe hashes equal only contents tell texts apart."""
-    real = chunks.chunk_bounds
+@pytest.mark.parametrize("bits", [0, 2, 5])
+def test_equal_hashes_are_not_trusted(spark, corpus, bits):
+    """With few bits most chunks and recipes meet; contents still tell texts apart."""
+    rows = [*EDGES, *((i, t) for i, t in corpus[:80]), *((i + 50_000, t) for i, t in corpus[:20]), (90, words(4000, 5)), (91, words(4000, 6)), (92, words(4000, 5))]
+    first = {}
+    for i, t in sorted(((i, t) for i, t in rows if t is not None), key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(t, i)
+    seen, want = set(), []
+    for i, t in sorted(((i, t) for i, t in rows if t is not None), key=lambda r: (r[0] is None, r[0] or 0)):
+        if t in seen:
+            want.append((i, first[t]))
+        seen.add(t)
+    df = frame(spark, rows)
+    got = [(r.doc_id, r.first_doc_id) for r in chunks.duplicates(df, "doc_id", "text", bits).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = chunks.drop_duplicates(df, "doc_id", "text", bits).collect()
+    assert len(kept) == len(rows) - len(want) and {r.text for r in kept} == {t for _, t in rows}
+
 
-    def blind(data, offsets):
-        s, e, h = real(data, offsets)
-        return s, e, h * np.uint64(0)
+def test_bloom_and_skew(spark):
+    from textloom.llm.bloom import Bloom
+    from textloom.llm.workspace import Workspace, skew_join
 
-    monkeypatch.setattr(chunks, "chunk_bounds", blind)
-    batch = pa.RecordBatch.from_pydict({"t": ["aa", "bb", "aa"]})
-    assert len(set(next(chunks.recipe_hashes(iter([batch]))).column(0).to_pylist())) == 1
-    rows = list(chunks.chunk_rows(iter([pa.RecordBatch.from_pydict({"row": pa.array([0, 1, 2]), "t": ["aa", "bb", "aa"]})])))
-    assert rows[0].column(3).to_pylist() == [b"aa", b"bb", b"aa"] and set(rows[0].column(2).to_pylist()) == {0}
-    df = spark.createDataFrame([tuple(r.values()) for r in rows[0].to_pylist()], "row long, position int, hash long, content binary")
-    named = df.groupBy("hash", "content").agg(F.collect_list("row").alias("at"))
-    assert sorted(sorted(r["at"]) for r in named.collect()) == [[0, 2], [1]]
+    ws = Workspace(spark, "test")
+    keys = ws.table(spark.range(0, 60_000, 3).selectExpr("id * 7 - 9 as k"), "keys")
+    bloom = Bloom.of(keys, "k")
+    inside = np.arange(0, 60_000, 3) * 7 - 9
+    assert bloom.hit(inside).all() and bloom.hit(np.arange(10**9, 10**9 + 50_000)).mean() < 0.05
+    df = spark.createDataFrame([(-9,), (None,), (10**12,)], "x long")
+    assert [r.h for r in df.select(bloom.column(F.col("x")).alias("h")).collect()] == [True, False, False]
+    assert not Bloom.of(ws.table(spark.range(0).toDF("k"), "none"), "k").hit(inside).any()
+    left = ws.table(spark.range(3000).selectExpr("case when id % 3 = 0 then 5 when id % 100 = 1 then null else id end as k", "id as join_salt"), "left")
+    right = ws.table(spark.range(2000).selectExpr("id as k", "id * 2 as v"), "right")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a, b = skew_join(left, right, ["k"], ws, how, most=10), left.join(right, "k", how)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b", "same text here and there"), ("a", "same text here and there"), (None, "same text here and there"), ("c", "other")]
+    df = spark.createDataFrame(rows, "key string, body string")
+    assert sorted(((r.doc_id, r.first_doc_id) for r in chunks.duplicates(df, "key", "body").collect()), key=str) == [("b", "a"), (None, "a")]
 
 
 # near
@@ -176,25 +204,33 @@ def test_sketches_estimate_shared_sequences():
     assert simhash.alike(s[[0] * 4], s[1:5]).tolist() == [e >= simhash.SHARED for e in estimate[:4]] and not simhash.alike(s[:1], s[5:]).any()
 
 
-def test_link_never_joins_beyond_the_threshold():
+@pytest.mark.parametrize("second", [0, 4])
+def test_link_loses_nothing_in_a_cell(second):
     import pandas as pd
 
     rng = np.random.default_rng(2)
     fp = rng.integers(0, 2**63, (300, 2), dtype=np.uint64)
-    for i in range(100, 300):
-        fp[i] = fp[i % 20] ^ np.array([np.uint64(1) << np.uint64(rng.integers(64)), np.uint64(1) << np.uint64(rng.integers(64))])
-    pivots = simhash.Pivots(fp[:16])
-    cells = pd.concat(pivots.place(iter([pd.DataFrame({"node": np.arange(300), "lo": fp[:, 0].view(np.int64), "hi": fp[:, 1].view(np.int64)})])))
-    edges = pd.concat([simhash.link(simhash.THRESHOLD)(c) for _, c in cells.groupby("cell")])
-    assert (simhash.distance(fp[edges.a], fp[edges.b]) <= simhash.THRESHOLD).all()
-    # within a cell every pair of the threshold ends in one group or under leaders that took both
-    for _, c in cells.groupby("cell"):
-        nodes = c.node.to_numpy()
-        e = simhash.link(simhash.THRESHOLD)(c)
-        taken = set(e.b)
-        free = [x for x in nodes if x not in taken]
-        for i, j in itertools.combinations(free, 2):
-            assert simhash.distance(fp[i], fp[j]) > simhash.THRESHOLD
+    for i in range(60, 300):
+        flips = np.zeros(128, np.uint8)
+        flips[rng.choice(128, rng.integers(0, 24), replace=False)] = 1
+        fp[i] = fp[i % 12] ^ np.packbits(flips).view(np.uint64)
+    sketch = np.ones((300, simhash.SKETCH), np.uint16)
+    sketch[rng.random(300) < 0.2] = 2
+    pivots = simhash.Pivots(np.arange(16), fp[:16], sketch[:16], 300)
+    pivots.second, pivots.probes = fp[16 : 16 + second], (8, min(3, max(1, second)))
+    cells = pd.concat(pivots.place(iter([pd.DataFrame({"node": np.arange(300), "lo": fp[:, 0].view(np.int64), "hi": fp[:, 1].view(np.int64), "sketch": [x.tobytes() for x in sketch]})])))
+    ok = lambda a, b: simhash.distance(fp[a], fp[b]) <= simhash.THRESHOLD and simhash.alike(sketch[[a]], sketch[[b]])[0]
+    placed = set(cells[cells.cell >= 0].node)
+    assert placed.isdisjoint(cells[cells.cell < 0].node) and len(placed) + (cells.cell < 0).sum() == 300
+    for cell, c in cells.groupby("cell"):
+        edges = simhash.link(simhash.THRESHOLD)(c)
+        assert all(ok(a, b) for a, b in zip(edges.a, edges.b))
+        if cell >= 0:
+            nodes = c.node.tolist()
+            at = {x: i for i, x in enumerate(nodes)}
+            found = components(len(nodes), [(at[a], at[b]) for a, b in zip(edges.a, edges.b)])
+            want = components(len(nodes), [(at[a], at[b]) for a, b in itertools.combinations(nodes, 2) if ok(a, b)])
+            assert len(set(zip(found, want))) == len(set(found)) == len(set(want))
 
 
 def test_near_edges(spark):
@@ -214,24 +250,38 @@ def test_near_edges(spark):
 # passages
 
 
-def check_passages(spark, rows, batches=3):
-    df = frame(spark, rows)
-    got = [tuple(r) for r in substrings.repeated_passages(df, "doc_id", "text", batches).collect()]
-    batch = {r.doc_id: r.b for r in df.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("b")).collect()}
-    text = {i: re.findall(r"[^\t-\r\x1c- ]+", t) for i, t in rows if i is not None and t is not None}
-    covered = {i: set() for i in text}
-    for doc, start, n, first, first_start in got:
-        assert n >= 32 and (batch[first], first) < (batch[doc], doc)
-        assert text[doc][start : start + n] == text[first][first_start : first_start + n] and len(text[doc]) >= start + n
-        covered[doc].update(range(start, start + n))
-    seen = {}
-    for doc in sorted(text, key=lambda i: (batch[i], i)):
-        mine = [tuple(text[doc][p : p + 50]) for p in range(len(text[doc]) - 49)]
-        for p, w in enumerate(mine):
-            if w in seen:
-                assert covered[doc].issuperset(range(p, p + 50)), (doc, p)
-        for w in mine:
-            seen.setdefault(w, doc)
+def slow_passages(rows, batches, history=()):
+    number = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % batches
+    place = {i: (-1, i) for i, _ in history} | {i: (number(i), i) for i, _ in rows if i is not None}
+    texts = [(i, re.findall(r"[^\t-\r\x1c- ]+", t)) for i, t in [*history, *rows] if i is not None and t is not None]
+    first = {}
+    for i, w in texts:
+        for p in range(len(w) - 49):
+            key = tuple(w[p : p + 50])
+            first[key] = min(first.get(key, place[i]), place[i])
+    out = set()
+    mine = {i for i, _ in rows}
+    spans = {}
+    for i, w in texts:
+        if i in mine:
+            spans.setdefault(i, set()).update((p, p + 50) for p in range(len(w) - 49) if first[tuple(w[p : p + 50])] != place[i])
+    for i, found in spans.items():
+        at = None
+        for a, b in sorted(found):
+            if at and a <= at[1]:
+                at[1] = b
+            else:
+                if at:
+                    out.add((i, at[0], at[1] - at[0]))
+                at = [a, b]
+        if at:
+            out.add((i, at[0], at[1] - at[0]))
+    return out
+
+
+def check_passages(spark, rows, batches=substrings.BATCHES):
+    got = [tuple(r) for r in substrings.repeated_passages(frame(spark, rows), "doc_id", "text", batches).collect()]
+    assert len(got) == len(set(got)) and set(got) == slow_passages(rows, batches)
     return got
 
 
@@ -243,20 +293,40 @@ def test_passages_planted(spark):
     shared = [words(n, 100 + n) for n in (50, 51, 64, 120)]
     rows = [(i, words(30 + i, i) + " " + shared[i % 4] + "\n " + words(40, -i)) for i in range(24)]
     rows += [(100, words(500, 7)), (101, "a b " * 100), (102, "a b " * 70), (103, "z " * 200), (104, "z " * 60), (105, shared[3] + " " + shared[2])]
+    # a passage whose halves stand in two other documents, overlapping by 30 words, and in one that is later than those
+    p = words(50, 200).split()
+    rows += [(200, " ".join(p[:40]) + " " + words(60, 201)), (201, words(60, 202) + " " + " ".join(p[10:])), (202, words(9, 203) + " " + " ".join(p) + " " + words(9, 204)), (203, words(20, 205) + " " + " ".join(p)), (204, words(3, 206) + " " + " ".join(p[:49]))]
+    assert {r[0] for r in check_passages(spark, rows, 1)} - {105, 101, 102, 103, 104} == {*range(4, 24), 203}
     got = check_passages(spark, rows)
-    assert len({r[0] for r in got} & set(range(24))) == 20
-    assert 100 not in {r[0] for r in got}
-    assert {r[0] for r in check_passages(spark, rows, 1)} - {105, 101, 102, 103, 104} == set(range(4, 24))
+    assert len({r[0] for r in got} & set(range(24))) == 20 and not {100, 200, 201, 204} & {r[0] for r in got}
 
 
 def test_passages_edges(spark):
-    long = words(60_000, 9)
-    rows = [(1, None), (2, ""), (None, long), (3, long), (4, long), (5, words(49, 1)), (6, words(49, 1) + " end"), (4, long)]
+    long = words(20_000, 9)
+    rows = [(1, None), (2, ""), (None, long), (3, long), (4, long), (5, words(49, 1)), (6, words(49, 1) + " end"), (4, long), (7, words(70, 5)), (7, words(60, 6)), (8, words(60, 6))]
     got = check_passages(spark, rows)
-    assert {(r[0], r[2]) for r in got if r[0] in (3, 4)} <= {(3, 60_000), (4, 60_000)} and any(r[2] == 60_000 for r in got)
+    assert {r[1:] for r in got if r[0] in (3, 4)} == {(0, 20_000)}
     assert substrings.repeated_passages(frame(spark, []), "doc_id", "text").count() == 0
 
 
+def test_index_goes_on_in_another_session(spark, corpus):
+    """Two calls of four batches each on one folder, the second by another session, against brute force over everything."""
+    shared = [words(n, 300 + n) for n in (55, 70, 90)]
+    rows = [*corpus, *((5000 + i, words(20, 400 + i) + " " + shared[i % 3] + " " + words(25, 500 + i)) for i in range(40))]
+    old, new = [r for r in rows if r[0] % 3], [r for r in rows if r[0] % 3 == 0]
+    path = substrings.Workspace(spark, "lasting").path
+    first = {tuple(r) for r in substrings.repeated_passages(frame(spark, old), "doc_id", "text", 4, path).collect()}
+    assert first == slow_passages(old, 4)
+    other = spark.newSession()
+    later = substrings.repeated_passages(frame(other, new), "doc_id", "text", 4, path, frame(other, old))
+    got = {tuple(r) for r in later.collect()}
+    assert got == slow_passages(new, 4, old) and len(got) > 10
+    index = substrings.Index(other, path)
+    assert index.batches == 8 and [len(x) for x in index.levels] == [2, 2]
+    with pytest.raises(ValueError):
+        substrings.Index(other, path, "string")
+
+
 def test_selected_windows_meet():
     rng = random.Random(8)
     for _ in range(30):
@@ -272,54 +342,58 @@ def test_selected_windows_meet():
 # SpotSigs
 
 
+COMMON = set(spotsigs.COMMON)
+
+
 def slow_signatures(text):
     w = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").lower())
     out = set()
     for i, x in enumerate(w):
         if x in spotsigs.ANCHORS:
-            chain = [y for y in w[i + 1 :] if y not in spotsigs.COMMON][: spotsigs.CHAIN]
+            chain = list(itertools.islice((y for y in itertools.islice(w, i + 1, None) if y not in COMMON), spotsigs.CHAIN))
             if len(chain) == spotsigs.CHAIN:
                 out.add((x, *chain))
     return frozenset(out)
 
 
-def check_spotsigs(spark, rows):
-    got = {(r.doc_id, r.other_id): r.jaccard for r in spotsigs.similar_pairs(frame(spark, rows), "doc_id", "text").collect()}
-    sets, first = {}, {}
-    for i, t in sorted((i, t) for i, t in rows if i is not None):
-        s = slow_signatures(t)
-        if s:
-            sets[i] = s
-            first.setdefault(s, i)
-    want = {(i, first[s]): 1.0 for i, s in sets.items() if first[s] != i}
-    for a, b in itertools.combinations(sorted(first.values()), 2):
-        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-        if j >= spotsigs.THRESHOLD:
-            want[(b, a)] = j
-    assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+def check_spotsigs(spark, rows, block=spotsigs.BLOCK):
+    got = spotsigs.similar_documents(frame(spark, rows), "doc_id", "text", block=block).collect()
+    sets = [(i, slow_signatures(t)) for i, t in rows if i is not None]
+    sets = [(i, s) for i, s in sets if s]
+    pairs = [(x, y) for x, y in itertools.combinations(range(len(sets)), 2) if len(sets[x][1] & sets[y][1]) / len(sets[x][1] | sets[y][1]) >= spotsigs.THRESHOLD]
+    root = components(len(sets), pairs)
+    links = [0] * len(sets)
+    for pair in pairs:
+        for x in pair:
+            links[x] += 1
+    members = {}
+    for x, r in enumerate(root):
+        members.setdefault(r, []).append(x)
+    want = [(sets[x][0], min(sets[y][0] for y in members[root[x]]), len(members[root[x]]), sum(s == sets[x][1] for _, s in sets), links[x]) for x in range(len(sets)) if links[x]]
+    assert sorted(map(tuple, got)) == sorted(want)
     return want
 
 
-def test_spotsigs_of_the_corpus(spark, corpus):
-    assert check_spotsigs(spark, corpus)
+@pytest.mark.parametrize("block", [spotsigs.BLOCK, 3])
+def test_spotsigs_of_the_corpus(spark, corpus, block):
+    assert check_spotsigs(spark, corpus, block)
 
 
-def test_spotsigs_edges(spark):
+@pytest.mark.parametrize("block", [spotsigs.BLOCK, 2])
+def test_spotsigs_edges(spark, block):
     s = "the cat sat quickly a dog ran home an owl flew away "
-    check_spotsigs(spark, [(1, s), (2, s + "the x y z"), (3, s.upper()), (4, None), (5, ""), (6, "the the the"), (None, s), (7, s * 2000), (8, "le chat noir dort bien une fois encore ici")])
-    assert spotsigs.similar_pairs(frame(spark, []), "doc_id", "text").count() == 0
-
-
-def test_spotsigs_names_partners_of_every_copy(spark):
-    a = "the cat sat quickly a dog ran home an owl flew away the fox hid well "
-    rows = [(5, a), (3, a.upper()), (9, a), (2, a + "the red green blue"), (7, a + "the red green blue"), (1, "the sun rose early a moon set late"), (8, "the sun rose early a moon set late")]
-    sets = {i: slow_signatures(t) for i, t in rows}
-    want = {(x, y) for x, y in itertools.combinations(sorted(sets), 2) if len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= spotsigs.THRESHOLD}
-    got = spotsigs.similar_pairs(frame(spark, rows), "doc_id", "text").collect()
-    near = [r for r in got if r.doc_ids is not None]
-    pairs = {tuple(sorted((x, y))) for r in near for x in r.doc_ids for y in r.other_ids}
-    assert near and all(r.doc_id == r.doc_ids[0] and r.other_id == r.other_ids[0] for r in near) and (7, 9) in pairs
-    for first in {r.other_id for r in got if r.doc_ids is None}:
-        pairs |= set(itertools.combinations(sorted([first, *(r.doc_id for r in got if r.doc_ids is None and r.other_id == first)]), 2))
-    assert pairs == want
+    check_spotsigs(spark, [(1, s), (2, s + "the x y z"), (3, s.upper()), (4, None), (5, ""), (6, "the the the"), (None, s), (7, s * 400), (8, "le chat noir dort bien une fois encore ici"), (1, s), (1, "other words")], block)
+    assert spotsigs.similar_documents(frame(spark, []), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("block", [spotsigs.BLOCK, 4])
+def test_spotsigs_over_all_lengths(spark, block):
+    """Sets of 1 to 300 signatures, many on both sides of a partition's bound, near copies of each other by cutting."""
+    rng = random.Random(6)
+    chains = [f"the {words(3, 900 + i)}. " for i in range(400)]
+    rows = [(i, "".join(chains[k] for k in sorted(rng.sample(range(20 if n < 20 else 400), n)))) for i, n in enumerate([1, 1, 2, 2, 2, 3, 4, 5, 6, 7, 8, 9, 12, 15, 16, 17, 20, 31, 32, 60, 127, 128, 129, 200, 300] * 2)]
+    for i, n in enumerate((8, 15, 16, 17, 30, 127, 128, 130, 250)):
+        base = rng.sample(range(400), n)
+        for k, share in enumerate((1, 0.9, 0.7, 0.52, 0.5, 0.48)):
+            rows.append((1000 + 10 * i + k, "".join(chains[c] for c in base[: math.ceil(n * share)])))
+    assert len(check_spotsigs(spark, rows, block)) > 50

@@ -211,6 +211,57 @@ def test_encode_and_decode_tables(spark):
     assert pieces.encode(df.limit(0), "text").count() == 0
 
 
+def test_decoding_is_defined_for_all_ids(spark, model):
+    n = len(model.pieces)
+    assert model.decode([n, -1, 10**9]) == model.decode([model.unk] * 3) and model.decode([]) == ""
+    df = spark.createDataFrame([(1, [5, None, 7]), (2, None), (3, []), (4, [n + 5]), (4, [n + 5])], "i long, ids array<int>")
+    got = {r.i: r.decoded for r in pieces.decode(df, "ids").collect()}
+    assert got == {1: model.decode([5, model.unk, 7]), 2: None, 3: "", 4: model.decode([model.unk])}
+
+
+def normalizing(model, rule):
+    """The model file as a unigram one that normalises by a rule of the library and squeezes blanks."""
+    import sentencepiece
+
+    spec = dict(pieces._fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[3]
+    spec = b"".join(varint_field(k, v) for k, v in (dict(pieces._fields(spec)) | {3: 1, 4: 1, 5: 1}).items())
+    raw, out = as_unigram(model), b""
+    for key, v in pieces._fields(raw):
+        out += varint_field(key, spec if key == 3 else v)
+    return out
+
+
+def varint_field(key, v):
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    return varint(key << 3) + varint(v) if isinstance(v, int) else varint(key << 3 | 2) + varint(len(v)) + v
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf", "nfkc", "identity"])
+def test_normalizing_models_match_the_library(spark, model, tmp_path, rule):
+    import sentencepiece
+
+    raw = normalizing(model, rule)
+    (tmp_path / "m.model").write_bytes(raw)
+    mine, sp = pieces.PieceModel(str(tmp_path / "m.model")), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    norm = sentencepiece.SentencePieceNormalizer(model_proto=raw)
+    texts = [*TEXTS[:-1], "  ﬁne\u3000ＡＢＣ  ｶﾞ ①\u200b e\u0301\ttab\nline  ", "\u00a0x\u2003y", "Straße ÉCOLE", *[r.text for r in documents(spark, SF).select("text").limit(30).collect()]]
+    for t in texts:
+        if "\x00" in t:
+            continue
+        assert mine.normalize(t) == norm.normalize(t).replace("▁", " ").strip(" "), t
+        ids = mine.encode_batch([t])[0].tolist()
+        score = lambda x: sum(float(mine.scores[i]) for i in x)
+        assert sp.encode(t) == ids or score(ids) >= score(sp.encode(t)) - 1e-4
+        assert mine.decode(ids) == mine.normalize(t)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    assert all(r.round_trip for r in pieces.encode(df, "text", str(tmp_path / "m.model")).collect())
+
+
 # quality
 
 
@@ -281,9 +332,148 @@ def test_gumbel_is_a_sample_by_weight():
     assert abs((top % 2 == 0).mean() - 0.75) < 0.07
 
 
+def slow_ngrams(text):
+    """Names of the n-grams of a text, not hashed: words, pairs of words, pairs of shapes."""
+    groups = [".,;:'\"()-", "!?", "*&%$#@", "|_=+~^", "<>{}[]\\/`"]
+    w = [x.encode() for x in re.findall(r"[^\t-\r\x1c- ]+", text)]
+
+    def shape(i):
+        kinds = set()
+        for c in w[i]:
+            k = chr(c)
+            kinds.add("a" if "a" <= k <= "z" else "A" if "A" <= k <= "Z" else "0" if "0" <= k <= "9" else "x" if c >= 128 else next((g for g in groups if k in g), ""))
+        return frozenset(kinds - {""}), min(7, int(math.log2(len(w[i])))), i > 0 and w[i] == w[i - 1]
+
+    return [*(("word", x) for x in w), *(("pair", *x) for x in zip(w, w[1:])), *(("shape", shape(i - 1) if i else None, shape(i)) for i in range(len(w)))]
+
+
+def test_quality_against_unhashed_counts(spark):
+    """Weights by plain dictionaries of n-grams; hashing to 2^14 buckets only blurs them where n-grams share a bucket, so texts of few words are used."""
+    vocabulary = ["alpha", "beta", "GAMMA", "d3lta", "eps!", "z**", "éta", "theta,"]
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(vocabulary, weights=[9, 7, 5, 3, 3, 2, 2, 1] if i % 3 else [1, 1, 2, 3, 3, 5, 7, 9], k=rng.randrange(1, 30)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(60)], "doc_id long, quality int")
+    got = {r.doc_id: r.log_weight for r in quality.resample(df, labels, "doc_id", "text").collect()}
+    raw, target = {}, {}
+    for i, t in rows:
+        for g in slow_ngrams(t):
+            raw[g] = raw.get(g, 0) + 1
+            if i < 60 and i % 3:
+                target[g] = target.get(g, 0) + 1
+    size, weight = 1 << quality.BITS, {}
+    for kind in ("word", "pair", "shape"):
+        r_all = sum(v for g, v in raw.items() if g[0] == kind) + size
+        t_all = sum(v for g, v in target.items() if g[0] == kind) + size
+        for g in (g for g in raw if g[0] == kind):
+            p = (raw[g] + 1) / r_all
+            weight[g] = math.log((target.get(g, 0) + size * p) / t_all) - math.log(p)
+    buckets = {}
+    for i, t in rows:
+        d, o, _ = kernel.buffers(pa.array([t]))
+        for g, b in zip(slow_ngrams(t), quality.features(d, o)[1].tolist()):
+            buckets.setdefault(b, set()).add(g)
+    apart = [i for i, t in rows if all(len(buckets[b]) == 1 for b in quality.features(*kernel.buffers(pa.array([t]))[:2])[1].tolist())]
+    assert len(apart) > 60
+    for i in apart:
+        assert abs(got[i] - sum(weight[g] for g in slow_ngrams(rows[i][1]))) < 1e-9
+
+
 # toxicity
 
 
+def slow_score(net, words):
+    """The net over a list of pairs of buckets, one position and one filter at a time."""
+    rows = [(net.rows(np.array([a]))[0], net.rows(np.array([b]))[0]) for a, b in words] + [(0, 0), (0, 0)]
+    x = [net.emb[a] + net.emb[b] for a, b in rows]
+    total, k = float(net.out_bias), 0
+    for w, conv, bias in zip(toxicity.WIDTHS, net.conv, net.bias):
+        for f in range(toxicity.FILTERS):
+            best = -math.inf
+            for at in range(len(x)):
+                best = max(best, sum(float(x[at + j] @ conv[j][:, f]) for j in range(w) if at + j < len(x)))
+            total += max(0.0, best + float(bias[f])) * float(net.out[k])
+            k += 1
+    return 1 / (1 + math.exp(-total))
+
+
+def some_net(texts, seed=1):
+    column = pa.array(texts)
+    words = [b[x:y] for _, _, b, first in toxicity.word_buckets(column) for x, y in zip(first[:-1], first[1:])]
+    net = toxicity.Net(np.unique(np.concatenate([w.ravel() for w in words]))[::2].astype(np.int32), seed)
+    rng = np.random.default_rng(seed)
+    net.bias = [rng.standard_normal(toxicity.FILTERS).astype(np.float32) * 0.2 for _ in toxicity.WIDTHS]
+    return net, column, words
+
+
+def test_scores_are_those_of_a_plain_convolution():
+    net, column, words = some_net(["one two three four", "a", "", "Bad words, bad words and bad", clean(1), clean(2) + " two one"])
+    got = toxicity.Scorer(net, {}, 0.5).score(column)
+    assert np.allclose(got, [slow_score(net, w) for w in words], atol=1e-5)
+    r, bounds = toxicity._padded(np.concatenate([net.rows(w) for w in words]), np.concatenate([[0], np.cumsum([len(w) for w in words])]))
+    logit = toxicity.forward(net, r, bounds)[0] @ net.out + net.out_bias
+    assert np.allclose(got, 1 / (1 + np.exp(-logit)), atol=1e-5)
+
+
+def test_gradients_against_differences():
+    net, _, words = some_net(["one two three four", "bad bad day two", "a", clean(3)])
+    for name in ("emb", "out"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.conv, net.bias = ([x.astype(np.float64) for x in part] for part in (net.conv, net.bias))
+    bias, y, weight = np.array([-0.3]), np.array([0.0, 1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5, 1.5])
+    r, bounds = toxicity._padded(np.concatenate([net.rows(w) for w in words]), np.concatenate([[0], np.cumsum([len(w) for w in words])]))
+
+    def loss():
+        z = toxicity.forward(net, r, bounds)[0] @ net.out + bias[0]
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).mean())
+
+    rng = np.random.default_rng(4)
+    for p, g in zip([*net.params(), bias], toxicity.gradients(net, bias, r, bounds, y, weight)):
+        for _ in range(12):
+            at = tuple(rng.integers(0, n) for n in p.shape)
+            if p is net.emb and at[0] == 0:
+                continue  # the row of unknown words stays zero
+            old = p[at]
+            p[at] = old + 1e-6
+            high = loss()
+            p[at] = old - 1e-6
+            low = loss()
+            p[at] = old
+            assert abs((high - low) / 2e-6 - g[at]) < 1e-5
+
+
+def test_thresholds_by_language(spark):
+    rng = np.random.default_rng(5)
+    langs = np.array(["aa"] * 400 + ["bb"] * 400 + ["cc"] * 30 + [""] * 10 + ["dd"] * 20)
+    y = (rng.random(len(langs)) < 0.3).astype(int)
+    y[langs == "dd"] = 0
+    p = np.clip(np.where(langs == "bb", 0.6, 0.2) + 0.25 * y + rng.normal(0, 0.05, len(langs)), 0, 1)
+    got = toxicity.language_thresholds(p, y, langs)
+    assert got.keys() == {"aa", "bb", "cc"} and got["bb"] - got["aa"] > 0.25
+    for x in got:
+        weight = np.where(langs == x, 1.0, toxicity.BORROWED / (langs != x).sum())
+
+        def f1(cut):
+            return 2 * (weight * y * (p >= cut)).sum() / ((weight * (p >= cut)).sum() + (weight * y).sum())
+
+        assert f1(got[x]) >= max(f1(c) for c in np.unique(p)) - 1e-12
+    docs = documents(spark, "/root/testdata/sf0.01")
+    scorer = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id", "text", "lang")
+    assert len(scorer.thresholds) >= 2
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(f"k{i}", f"text {i} " * 20, "en") for i in range(50)] + [("k3", "another text", "en"), ("k4", "long " * 10_000, "en"), ("k5", None, "en")]
+    df = spark.createDataFrame(rows, "key string, body string, tongue string")
+    labels = spark.createDataFrame([(f"k{i}", i % 2) for i in range(50)], "doc_id string, toxic int")
+    all_of = toxicity.labelled(df, labels, "key", "body", "tongue", 100, 1 << 20)
+    assert len(all_of) == 50 and len({r.label_id for r in all_of}) == 50
+    assert len(toxicity.labelled(df, labels, "key", "body", "tongue", 20, 1 << 20)) == 20
+    few = toxicity.labelled(df, labels, "key", "body", "tongue", 100, 2000)
+    assert 5 <= len(few) <= 15
+    assert toxicity.classify(df, labels, "key", "body", "tongue").count() == len(rows)
+
+
 def test_toxicity_on_held_out_texts(spark):
     bad = ["vilword", "nastyterm", "uglyname", "rudething"]
 

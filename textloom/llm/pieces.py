@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import buffers
-from .workspace import fresh, q, small_batches
+from .workspace import fresh, q, small_batches, typed
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
@@ -117,8 +117,8 @@ class PieceModel:
     """A SentencePiece model file read as a unigram model.
 
     A file of unigram type brings its log scores. One of BPE type brings ranks instead; piece r of n then gets the
-    log probability of Zipf's law, -log(r + 1) - log(H_n). Text is taken as it is (identity normalisation; files
-    with another one are refused), blanks become U+2581, and one is put before the text if the file says so."""
+    log probability of Zipf's law, -log(r + 1) - log(H_n). Text is normalised as the file says: by its table of characters (as NFKC), and
+    by dropping outer blanks and squeezing others. Then blanks become U+2581, and one is put before the text if the file says so."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
@@ -126,7 +126,7 @@ class PieceModel:
         self.pieces: list[str] = []
         scores: list[float] = []
         self.kinds: list[int] = []
-        self.prefix, self.kind, self.squeeze = True, 1, True
+        self.prefix, self.kind, self.squeeze, self.units, self.forms = True, 1, True, None, b""
         for key, v in _fields(raw):
             if key == 1:
                 d = {1: b"", 2: struct.pack("<f", 0), 3: NORMAL} | dict(_fields(v))
@@ -138,10 +138,9 @@ class PieceModel:
             elif key == 3:
                 d = dict(_fields(v))
                 if d.get(2):
-                    raise ValueError("only identity normalisation is supported")
+                    size = struct.unpack("<I", d[2][:4])[0]
+                    self.units, self.forms = np.frombuffer(d[2][4 : 4 + size], "<u4").tolist(), bytes(d[2][4 + size :])
                 self.prefix, self.squeeze = bool(d.get(3, 1)), bool(d.get(4, 1))
-        if self.squeeze:
-            raise ValueError("models that squeeze white space are not supported")
         kinds = np.array(self.kinds)
         self.scores = np.array(scores, np.float64)
         if self.kind != 1:
@@ -164,10 +163,50 @@ class PieceModel:
         self.at = np.cumsum(self.length) - self.length
         self.pool = np.frombuffer(b"".join(pool), np.uint8)
         self.cache: dict[str, bytes] = {}
+        fixed = sorted((p.encode() for p, k in zip(self.pieces, self.kinds) if k == USER and p), key=len, reverse=True)
+        self.user = re.compile(b"|".join(map(re.escape, fixed))) if fixed else None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
 
+    # normalising
+
+    @property
+    def identity(self) -> bool:
+        return self.units is None and not self.squeeze
+
+    def normalize(self, text: str) -> str:
+        """``text`` as it is encoded: at each place the longest entry of the file's table is replaced by its form, pieces given by the user stay."""
+        if self.units is not None:
+            raw, units, out, i = text.encode("utf-8", "surrogatepass"), self.units, [], 0
+            kept = self.user.match if self.user else None
+            while i < len(raw):
+                user = kept(raw, i) if kept else None
+                if user:
+                    out.append(user[0])
+                    i = user.end()
+                    continue
+                at = (units[0] >> 10) << ((units[0] & 0x200) >> 6)
+                best, form, j = 0, 0, i
+                while j < len(raw):
+                    at ^= raw[j]
+                    unit = units[at] if at < len(units) else 0
+                    if unit & 0x800000FF != raw[j]:
+                        break
+                    j += 1
+                    at ^= (unit >> 10) << ((unit & 0x200) >> 6)
+                    if unit >> 8 & 1:
+                        best, form = j - i, units[at] & 0x7FFFFFFF
+                if best:
+                    out.append(self.forms[form : self.forms.index(b"\0", form)])
+                else:
+                    c = raw[i]
+                    best = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
+                    out.append(raw[i : i + best])
+                i += best
+            text = b"".join(out).decode("utf-8", "replace")
+        return re.sub(" +", " ", text.strip(" ")) if self.squeeze else text
+
     # encoding
 
     def viterbi(self, segment: bytes) -> list[int]:
@@ -290,6 +329,7 @@ class PieceModel:
     def segments(self, text: str) -> list[str]:
         """Parts that no piece crosses: each ends before a run of blanks. With a piece that holds a blank after another
         character the text is one part."""
+        text = text if self.identity else self.normalize(text)
         marked = ((" " if self.prefix else "") + text).replace(" ", MARK) if text else ""
         if self.crossing:
             return [marked] if marked else []
@@ -314,7 +354,8 @@ class PieceModel:
 
     def decode_flat(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, offsets) of texts of ids: pieces in a row, blanks for U+2581, byte pieces as bytes, control pieces
-        as nothing, and the blank that stands before the text taken off."""
+        as nothing, and the blank that stands before the text taken off. An id that the model hasn't reads as its unknown piece."""
+        ids = np.where((ids < 0) | (ids >= len(self.length)), self.unk, ids)
         n = self.length[ids]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -358,6 +399,8 @@ class Codec:
                 flat = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)])
                 body, offsets = self.model.decode_flat(flat, first)
                 data, bounds, valid = buffers(column)
+                if not self.model.identity:
+                    data, bounds, _ = buffers(pa.array([None if x is None else self.model.normalize(x) for x in column.to_pylist()], pa.string()))
                 same = np.diff(offsets) == np.diff(bounds)
                 if not same.all() or len(body) != len(data) or not np.array_equal(body, data):
                     a, b = body.tobytes(), data.tobytes()
@@ -371,30 +414,28 @@ class Decoder:
         self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Appends the text of (..., ids), without the ids; malformed UTF-8 becomes U+FFFD."""
+        """Appends the text of (..., ids), without the ids; malformed UTF-8 becomes U+FFFD, a null id reads as the unknown piece."""
         for batch in batches:
             keep = batch.num_columns - 1
-            texts = [None if x is None else self.model.decode(x) for x in batch.column(keep).to_pylist()]
+            texts = [None if x is None else self.model.decode([-1 if v is None else v for v in x]) for x in batch.column(keep).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(keep)), pa.array(texts, pa.string())], [f"c{i}" for i in range(keep + 1)])
 
 
-def _schema(df: DataFrame, *more: str) -> str:
-    return ", ".join([*(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in df.columns), *more])
-
-
 def encode(df: DataFrame, text: str, path: str = DEFAULT_MODEL, ids: str = "ids") -> DataFrame:
-    """``df`` with ``ids`` (array of int), ``n_tokens`` and ``round_trip`` (whether the ids decode to the text, byte for
-    byte; only a text that holds U+2581 itself, or any character unknown to a model without byte pieces, doesn't).
+    """``df`` with ``ids`` (array of int), ``n_tokens`` and ``round_trip`` (whether the ids decode to the text as the model normalises it, byte for
+    byte; only a text that holds U+2581 itself, or any character unknown to a model without byte pieces, doesn't). At equal scores the path
+    with the longest last piece wins. Repeated rows are encoded each, very long texts whole; an empty table stays empty.
     A null text has null in all three, an empty one no ids. No shuffle. Names that ``df`` has get leading
     underscores."""
     small_batches(df.sparkSession)
     a, b, c = fresh(df, ids), fresh(df, "n_tokens"), fresh(df, "round_trip")
     body = df.select(*(q(x) for x in df.columns), q(text).alias(a))
-    return body.mapInArrow(Codec(PieceModel(path)), _schema(df, f"`{a}` array<int>", f"`{b}` long", f"`{c}` boolean"))
+    return body.mapInArrow(Codec(PieceModel(path)), typed(df, f"`{a}` array<int>", f"`{b}` long", f"`{c}` boolean"))
 
 
 def decode(df: DataFrame, ids: str, path: str = DEFAULT_MODEL, out: str = "decoded") -> DataFrame:
-    """``df`` with the text of ``ids``; null for null."""
+    """``df`` with the text of ``ids``; null for null, an empty text for no ids. Ids that the model hasn't and null elements read as the unknown
+    piece."""
     small_batches(df.sparkSession)
     a = fresh(df, out)
-    return df.select(*(q(x) for x in df.columns), q(ids).alias(a)).mapInArrow(Decoder(PieceModel(path)), _schema(df, f"`{a}` string"))
+    return df.select(*(q(x) for x in df.columns), q(ids).alias(a)).mapInArrow(Decoder(PieceModel(path)), typed(df, f"`{a}` string"))

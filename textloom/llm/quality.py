@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import SPACE, Words, blocks, buffers, mix64
-from .workspace import Workspace, fresh, q
+from .workspace import Workspace, fresh, q, typed
 
 BITS = 14
 KINDS = 3
@@ -75,8 +75,13 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, smoothing: float = 1.0) -> np
     return out
 
 
+def draw(ident: Column, text: Column) -> Column:
+    """What a row's noise is hashed from: its id, or its text where the id is null."""
+    return F.when(ident.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(ident))
+
+
 def gumbel(ident: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Standard Gumbel noise hashed from the id."""
+    """Standard Gumbel noise hashed from a long."""
     u = ((mix64(mix64(ident.astype(np.int64).view(_U)) + _U(seed)) >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)
     return -np.log(-np.log(u))
 
@@ -97,10 +102,10 @@ class Model:
         return out, valid
 
     def keys(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Appends (log weight, Gumbel key) to (..., ident, text), without these last two columns."""
+        """Appends (log weight, Gumbel key) to (..., draw, text), without these last two columns."""
         for batch in batches:
             score, valid = self.score(batch.column(batch.num_columns - 1))
-            noise = gumbel(batch.column(batch.num_columns - 2).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), self.seed)
+            noise = gumbel(batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False), self.seed)
             columns = [*(batch.column(i) for i in range(batch.num_columns - 2)), pa.array(score, mask=~valid), pa.array(score + noise, mask=~valid)]
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
@@ -109,13 +114,14 @@ def fit(df: DataFrame, labels: DataFrame, ident: str, text: str, max_labelled: i
     """The raw model counts the n-grams of all texts, the target model those of up to ``max_labelled`` documents
     of quality 1 (the first by hash of id), in one scan. An id labelled both 0 and 1, or null, isn't used. The share
     to keep is that of quality 1 among all usable labels, 1 if there are none."""
-    clean = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
+    kind = df.schema[ident].dataType.simpleString()
+    clean = labels.select(F.col("doc_id").try_cast(kind).alias("doc_id"), "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
     n, good = clean.agg(F.count("*"), F.sum("hi")).first()
     wanted = clean.where("hi = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id")
     chosen = [r.doc_id for r in wanted.collect()]
-    mark = df.sparkSession.createDataFrame([(i, True) for i in chosen], "label_id long, wanted boolean")
+    mark = df.sparkSession.createDataFrame([(i, True) for i in chosen], f"label_id {kind}, wanted boolean")
     # bounded by max_labelled, whatever the size of the corpus
-    marked = df.select(q(text).alias("text"), q(ident).cast("long").alias("label_id")).join(F.broadcast(mark), "label_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    marked = df.select(q(text).alias("text"), q(ident).alias("label_id")).join(F.broadcast(mark), "label_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
     raw, target = np.zeros(SIZE), np.zeros(SIZE)
     for r in marked.mapInArrow(count_ngrams, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
@@ -147,10 +153,13 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
 def select(df: DataFrame, labels: DataFrame, ident: str, text: str, max_labelled: int = 20_000, seed: int = 0) -> tuple[DataFrame, Model, float]:
     """(keys of all rows, model, cutoff). A row is kept if its key, log weight plus Gumbel noise, is among the
     ``share`` of the largest: a sample without replacement in proportion to the weights. Rows at the
-    cutoff all stay. A null text has no key and is rejected; an empty one has weight 1."""
+    cutoff all stay. A null text has no key and is rejected; an empty one has weight 1. A row's noise is hashed from its id, so rows of one id
+    share it, as do equal texts without an id; each row counts on its own. Ids may have any type, other columns take no part, a very long
+    text counts all its n-grams, and an empty table gives no keys."""
     ws = Workspace(df.sparkSession, "quality")
     model = fit(df, labels, ident, text, max_labelled, seed)
-    keys = df.select(q(ident).cast("long").alias("doc_id"), q(ident).cast("long").alias("i"), q(text).alias("t")).mapInArrow(model.keys, "doc_id long, log_weight double, key double")
+    kind = df.schema[ident].dataType.simpleString()
+    keys = df.select(q(ident).alias("doc_id"), draw(q(ident), q(text)).alias("i"), q(text).alias("t")).mapInArrow(model.keys, f"doc_id {kind}, log_weight double, key double")
     keys = ws.table(keys, "keys")
     n = keys.where("key is not null").count()
     k = round(n * model.share)
@@ -167,6 +176,6 @@ def keep_selected(df: DataFrame, labels: DataFrame, ident: str, text: str, max_l
     """The kept rows of ``df`` with all their columns; scores are computed again in the scan, so no row is shuffled."""
     _, model, cutoff = select(df, labels, ident, text, max_labelled, seed)
     a, b = fresh(df, "quality_weight"), fresh(df, "quality_key")
-    schema = ", ".join(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in df.columns) + f", `{a}` double, `{b}` double"
-    scored = df.select(*(q(c) for c in df.columns), q(ident).cast("long").alias(a), q(text).alias(b)).mapInArrow(model.keys, schema)
+    schema = typed(df, f"`{a}` double", f"`{b}` double")
+    scored = df.select(*(q(c) for c in df.columns), draw(q(ident), q(text)).alias(a), q(text).alias(b)).mapInArrow(model.keys, schema)
     return scored.where(q(b) >= cutoff).drop(a, b)

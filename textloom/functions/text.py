@@ -15,7 +15,9 @@ BLANKS = "\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 HASHES = 4096
 QUOTES = "\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f"
-DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d"
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe63\uff0d"
+#: White space at the ends of lines and before them, but for LF.
+EDGES = "\\t\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
 WIDE = "\u00a0" + "".join(map(chr, range(0x2002, 0x200B))) + "\u202f\u205f\u3000"
 
 
@@ -77,11 +79,11 @@ def set_similarity(ta: Column, tb: Column) -> Column:
 
 
 def escape_controls(text: Column) -> Column:
-    """Control characters below blank, but for tab, LF and CR, as \\u00XX."""
+    """Control characters below blank, but for tab, LF and CR, as \\u00xx; texts without any are only looked through once."""
     out = text
     for c in [*range(0, 9), 11, 12, *range(14, 32)]:
-        out = F.replace(out, F.lit(chr(c)), F.lit(f"\\u{c:04X}"))
-    return out
+        out = F.replace(out, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
+    return F.when(text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), out).otherwise(text)
 
 
 def compact(text: Column, limit: int = 500) -> Column:
@@ -112,10 +114,19 @@ def last_identifier(text: Column) -> Column:
 
 
 def identifier_at(line: Column, column: Column) -> Column:
-    """The identifier around a 1-based character column, one step to the left of it if it stands on a bound; null if none."""
-    left = F.regexp_extract(F.left(line, column - 1), "([A-Za-z0-9_]*)$", 1)
-    right = F.regexp_extract(F.substring(line, column, F.char_length(line)), "^([A-Za-z0-9_]*)", 1)
-    return F.nullif(F.concat(left, right), F.lit(""))
+    """The identifier around a 1-based byte column, one step to the left of it if it stands on a bound; null if none."""
+    return identifier_span(line, column).text
+
+
+def identifier_span(line: Column, column: Column) -> Column:
+    """(text, start_column, end_column) of ``identifier_at``, byte columns from 1, the end outside; null if there is none. A column behind the
+    line stands for its last byte."""
+    raw = line.cast("binary")
+    at = F.least(column, F.octet_length(line))
+    left = F.regexp_extract(F.substring(raw, F.lit(1), at - 1).cast("string"), r"([A-Za-z0-9_]*)\z", 1)
+    right = F.regexp_extract(F.substring(raw, at, F.octet_length(line)).cast("string"), r"\A([A-Za-z0-9_]*)", 1)
+    text, start = F.concat(left, right), at - F.char_length(left)
+    return F.when((text != "") & (column > 0), F.struct(text.alias("text"), start.alias("start_column"), (start + F.char_length(text)).alias("end_column")))
 
 
 def is_qualified_name(text: Column) -> Column:
@@ -162,22 +173,24 @@ def glob_pattern(glob: str) -> str:
 
 
 def fuzzy(text: Column) -> Column:
-    """Without trailing blanks on lines; typographic quotes, dashes and blanks as ASCII."""
-    out = F.regexp_replace(text, r"(?m)[ \t]+$", "")
+    """Without white space at the ends of lines; typographic quotes, dashes and blanks as ASCII."""
+    out = F.regexp_replace(text, rf"[{EDGES}]+(\n|\z)", "$1")
     out = F.translate(out, QUOTES, "'" * 4 + '"' * 4)
     out = F.translate(out, DASHES, "-" * len(DASHES))
     return F.translate(out, WIDE, " " * len(WIDE))
 
 
-def indent(line: Column) -> Column:
-    return F.char_length(F.regexp_extract(line, "^([ \t]*)", 1))
+def indentation(line: Column) -> Column:
+    """The white space that a line begins with."""
+    return F.regexp_extract(line, rf"\A([{EDGES}]*)", 1)
 
 
 def dedent(text: Column) -> Column:
-    """Without the indentation that all lines of more than blanks share."""
+    """Every line without as many characters as the least indentation of lines that hold more than white space; a line of white space alone
+    loses as many too. A text of such lines only stays."""
     lines = F.split(text, "\n", -1)
-    least = F.coalesce(F.array_min(F.transform(F.filter(lines, lambda x: F.trim(F.translate(x, "\t", " ")) != ""), indent)), F.lit(0))
-    return F.array_join(F.transform(lines, lambda x: F.when(F.trim(F.translate(x, "\t", " ")) == "", F.lit("")).otherwise(F.substring(x, least + 1, F.char_length(x)))), "\n")
+    least = F.coalesce(F.array_min(F.transform(F.filter(lines, lambda x: x.rlike(f"[^{EDGES}]")), lambda x: F.char_length(indentation(x)))), F.lit(0))
+    return F.array_join(F.transform(lines, lambda x: F.substring(x, least + 1, F.char_length(x))), "\n")
 
 
 def reindent(text: Column, by: Column) -> Column:
@@ -186,14 +199,19 @@ def reindent(text: Column, by: Column) -> Column:
 
 
 def strip_copied_prefixes(text: Column) -> Column:
-    """Without ``12:a3f|`` or ``+`` before lines if at least half of the lines that aren't empty have such a prefix."""
+    """Without what stands before lines copied from a listing, if at least half of the lines that aren't empty have it: ``12:a3f|``, else (of two lines or more)
+    a bare ``a3f|``, else a single ``+``."""
     lines = F.split(text, "\n", -1)
     filled = F.size(F.filter(lines, lambda x: x != ""))
-    hashed = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*\d+:[0-9a-f]{3}\|")))
-    plus = F.size(F.filter(lines, lambda x: x.rlike(r"^\+(?!\+)")))
-    bare = F.when((filled > 0) & (hashed * 2 >= filled), F.transform(lines, lambda x: F.regexp_replace(x, r"^\s*\d+:[0-9a-f]{3}\|", "")))
-    bare = bare.when((filled > 0) & (plus * 2 >= filled), F.transform(lines, lambda x: F.regexp_replace(x, r"^\+(?!\+)", ""))).otherwise(lines)
-    return F.array_join(bare, "\n")
+    bare = F.when(filled == 0, lines)
+    for pattern, least in PREFIXES:
+        have = F.size(F.filter(lines, lambda x: x.rlike(pattern)))
+        bare = bare.when((filled >= least) & (have * 2 >= filled), F.transform(lines, lambda x: F.regexp_replace(x, pattern, "")))
+    return F.array_join(bare.otherwise(lines), "\n")
+
+
+#: Prefixes of copied lines, and how many lines must be there for each to be taken away.
+PREFIXES = ((r"^[\s>]*\d+:[0-9a-zA-Z]{1,16}\|", 1), (r"^[0-9a-f]{3}\|", 2), (r"^\+(?!\+)", 1))
 
 
 def eol_majority(text: Column) -> Column:

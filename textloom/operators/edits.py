@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import eol_majority, set_similarity, tokens
+from textloom.functions.text import DASHES, QUOTES, WIDE, eol_majority, fuzzy, set_similarity, tokens
 
 SIMILAR, RELOCATE, SPAN = 0.3, 0.8, 50
 
@@ -30,32 +30,35 @@ def relocation_window(edits_per_file: int) -> int:
     return max(20, min(100, 5 * edits_per_file))
 
 
-def relocate(stale: DataFrame, rows: DataFrame) -> DataFrame:
+def relocate(stale: DataFrame, rows: DataFrame, edits: DataFrame | None = None) -> DataFrame:
     """(path, edit_idx, line, new_line) for stale anchors (path, edit_idx, line, hash) whose hash is met on exactly one line within
-    the window: five times the file's edits, 20 to 100 lines each way. An equi-join on path and hash; the band is the rest."""
-    n = stale.groupBy("path").agg(F.greatest(F.lit(20), F.least(F.lit(100), F.count("*") * 5)).alias("w"))
+    the window: five times the file's ``edits`` (of the stale ones if not given), 20 to 100 lines each way. An equi-join on path and hash; the
+    band is the rest."""
+    n = (stale if edits is None else edits).groupBy("path").agg(F.greatest(F.lit(20), F.least(F.lit(100), F.count("*") * 5)).alias("w"))
     band = stale.join(n, "path").join(rows.select("path", "hash", F.col("line").alias("new_line")), ["path", "hash"]).where(F.abs(F.col("new_line") - F.col("line")) <= F.col("w"))
     return band.groupBy("path", "edit_idx", "line").agg(F.count("*").alias("n"), F.min("new_line").alias("new_line")).where("n = 1").drop("n")
 
 
-def _band(wanted: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+def _band(wanted: DataFrame, rows: DataFrame, column: str, least: float) -> DataFrame:
     """Pairs of (path, edit_idx, line, ``column``) and lines within 50 of it: joined on path and bins of 50 lines. Each line is cut
-    into tokens once, before the join."""
+    into tokens once, before the join, and sets whose sizes alone rule out a similarity of ``least`` aren't compared."""
     bins = wanted.withColumn("wanted_tokens", tokens(F.col(column))).withColumn("bin", F.explode(F.array(*(F.floor(F.col("line") / SPAN) + d for d in (-1, 0, 1)))))
     near = rows.select("path", F.floor(F.col("line") / SPAN).alias("bin"), F.col("line").alias("near_line"), tokens(F.col("text")).alias("near_tokens"))
-    return bins.join(near, ["path", "bin"]).where(F.abs(F.col("near_line") - F.col("line")) <= SPAN).drop("bin").withColumn("similarity", set_similarity(F.col("wanted_tokens"), F.col("near_tokens")))
+    a, b = F.size("wanted_tokens"), F.size("near_tokens")
+    fits = (F.abs(F.col("near_line") - F.col("line")) <= SPAN) & (F.least(a, b) >= F.greatest(a, b) * F.lit(least))
+    return bins.join(near, ["path", "bin"]).where(fits).drop("bin").withColumn("similarity", set_similarity(F.col("wanted_tokens"), F.col("near_tokens")))
 
 
 def relocate_fuzzy(wanted: DataFrame, rows: DataFrame) -> DataFrame:
     """(path, edit_idx, new_line) where exactly one line within 50 shares more than 0.8 of its tokens with ``old_text``."""
-    hits = _band(wanted, rows, "old_text").where(F.col("similarity") > RELOCATE)
+    hits = _band(wanted, rows, "old_text", RELOCATE).where(F.col("similarity") > RELOCATE)
     return hits.groupBy("path", "edit_idx").agg(F.count("*").alias("n"), F.min("near_line").alias("new_line")).where("n = 1").drop("n")
 
 
 def similar_lines(wanted: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
-    """(path, edit_idx, rank, near_line, similarity): the most similar lines within 50, of 0.3 at least; nearer ones first at a tie."""
-    hits = _band(wanted, rows, "old_text").where(F.col("similarity") >= SIMILAR)
-    w = Window.partitionBy("path", "edit_idx").orderBy(F.desc("similarity"), F.abs(F.col("near_line") - F.col("line")), "near_line")
+    """(path, edit_idx, rank, near_line, similarity): the most similar lines within 50, of 0.3 at least; earlier ones first at a tie."""
+    hits = _band(wanted, rows, "old_text", SIMILAR).where(F.col("similarity") >= SIMILAR)
+    w = Window.partitionBy("path", "edit_idx").orderBy(F.desc("similarity"), "near_line")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("path", "edit_idx", "rank", "near_line", "similarity")
 
 
@@ -164,8 +167,54 @@ def inline_diff(pairs: DataFrame, least: float = 0.35, longest: int = 2000) -> D
     return pairs.select("path", "old", "new").mapInPandas(rows, f"path string, old_spans {t}, new_spans {t}")
 
 
-def replace_text(files: DataFrame, old: str, new: str, everywhere: bool = False) -> DataFrame:
-    """(path, new_text, hits) of files that contain ``old``: all hits replaced, or the first."""
+_ASCII = str.maketrans({**dict.fromkeys(QUOTES[:4], "'"), **dict.fromkeys(QUOTES[4:], '"'), **dict.fromkeys(DASHES, "-"), **dict.fromkeys(WIDE, " ")})
+_EDGES = "\t\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def _fuzzy_places(text: str) -> tuple[str, list[int]]:
+    """``functions.text.fuzzy`` of a text, and where each of its characters stands in the text."""
+    out, places, at = [], [], 0
+    for line in text.split("\n"):
+        kept = line.rstrip(_EDGES)
+        out.append(kept.translate(_ASCII))
+        places += [*range(at, at + len(kept)), at + len(line)]
+        at += len(line) + 1
+    return "\n".join(out), places[:-1]
+
+
+def replace_fuzzy(files: DataFrame, old: str, new: str, everywhere: bool = False) -> DataFrame:
+    """(path, new_text, hits) of files that don't contain ``old`` but do if white space at the ends of lines, quotes, dashes and blanks are seen as alike: what stood
+    in the place of the hits, all or the first, is replaced, and nothing else in the file changes. Files are picked by built-in functions; Python
+    maps the hits of these back to the text."""
+    wanted = _fuzzy_places(old)[0]
+    some = files.where(~F.contains("text", F.lit(old)) & F.contains(fuzzy(F.col("text")), F.lit(wanted))) if wanted else files.limit(0)
+
+    def rows(batches):
+        for pdf in batches:
+            out = []
+            for path, text in zip(pdf["path"], pdf["text"]):
+                flat, places = _fuzzy_places(text)
+                spans, at = [], flat.find(wanted)
+                while at >= 0:
+                    spans.append((places[at], places[at + len(wanted) - 1] + 1))
+                    at = flat.find(wanted, at + len(wanted))
+                hits = len(spans)
+                for a, b in reversed(spans if everywhere else spans[:1]):
+                    text = text[:a] + new + text[b:]
+                out.append((path, text, hits))
+            yield pd.DataFrame(out, columns=["path", "new_text", "hits"])
+
+    return some.select("path", "text").mapInPandas(rows, "path string, new_text string, hits long")
+
+
+def replace_text(files: DataFrame, old: str, new: str, everywhere: bool = False, fuzzily: bool = False) -> DataFrame:
+    """(path, new_text, hits) of files that contain ``old``: all hits replaced, or the first. With ``fuzzily`` files without an exact hit may have
+    one by ``replace_fuzzy``. Nothing contains an empty ``old``."""
+    if not old:
+        return files.limit(0).select("path", F.col("text").alias("new_text"), F.lit(0).cast("long").alias("hits"))
+    new = new.replace("\r\n", "\n").replace("\r", "\n")
+    if fuzzily:
+        return replace_text(files, old, new, everywhere).unionByName(replace_fuzzy(files, old, new, everywhere))
     size = F.char_length(F.lit(old))
     some = files.where(F.contains("text", F.lit(old)))
     hits = ((F.char_length("text") - F.char_length(F.replace("text", F.lit(old), F.lit("")))) / size).cast("long")
@@ -183,7 +232,7 @@ def compare_and_swap(files: DataFrame, writes: DataFrame) -> DataFrame:
 def restore_line_ends(files: DataFrame, original: str, text: str) -> DataFrame:
     """Adds ``written``: ``text`` with the byte order mark and the prevailing line ends of ``original``; null where the text holds a lone
     CR or a NUL, which is refused."""
-    mark = F.when(F.startswith(original, F.lit("﻿")), F.lit("﻿")).otherwise(F.lit(""))
+    mark = F.when(F.startswith(original, F.lit("\ufeff")), F.lit("\ufeff")).otherwise(F.lit(""))
     refused = F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x00"))
     body = F.when(eol_majority(F.col(original)) == "\r\n", F.replace(F.col(text), F.lit("\n"), F.lit("\r\n"))).otherwise(F.col(text))
     return files.withColumn("written", F.when(~refused, F.concat(mark, body)))
@@ -202,7 +251,7 @@ def apply_relocating(edits: DataFrame, rows: DataFrame) -> DataFrame:
     single = edits.where("end_line is null")
     state = verify(single, rows).where("conflict is not null")
     stale = single.join(state, ["path", "edit_idx"], "left_semi").select("path", "edit_idx", F.col("start_line").alias("line"), F.col("start_hash").alias("hash"))
-    moved = relocate(stale, rows).select("path", "edit_idx", "new_line")
+    moved = relocate(stale, rows, edits).select("path", "edit_idx", "new_line")
     out = edits.join(moved, ["path", "edit_idx"], "left").withColumn("start_line", F.coalesce("new_line", "start_line")).select(*edits.columns)
     return apply(out, rows)
 

@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import compact
 
-MAX_DEPTH = 32
-
-
-def paths(nodes: DataFrame, levels: int) -> DataFrame:
-    """Nodes with ``depth`` (0 for roots) and ``path``, the positions from the root down; nodes without a way to a root are dropped.
-
-    ``levels`` self-joins on (doc_id, parent_id), each with the level above alone."""
-    level = nodes.where("parent_id is null").withColumn("depth", F.lit(0)).withColumn("path", F.array(F.col("position").cast("long")))
-    out = level
-    for d in range(1, levels):
+def paths(nodes: DataFrame, levels: int | None = None) -> DataFrame:
+    """Nodes with ``depth`` (0 for roots) and ``path``, the positions from the root down; nodes without a way to a root, those on a cycle
+    among them, are dropped. With ``levels`` nodes of that depth and below are left out.
+
+    Each level is joined on (doc_id, parent_id) with the one above alone, which is kept for that, until a level is empty."""
+    level = nodes.where("parent_id is null").withColumn("depth", F.lit(0)).withColumn("path", F.array(F.col("position").cast("long"))).persist()
+    out, d = level, 1
+    while levels is None or d < levels:
         above = level.select("doc_id", F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        level = nodes.join(above, ["doc_id", "parent_id"]).select(*(F.col(c) for c in nodes.columns), F.lit(d).alias("depth"), F.concat("above", F.array(F.col("position").cast("long"))).alias("path"))
-        out = out.unionByName(level)
+        level = nodes.join(above, ["doc_id", "parent_id"]).select(*(F.col(c) for c in nodes.columns), F.lit(d).alias("depth"), F.concat("above", F.array(F.col("position").cast("long"))).alias("path")).persist()
+        if level.isEmpty():
+            level.unpersist()
+            break
+        out, d = out.unionByName(level), d + 1
     return out
 
 

@@ -281,10 +281,25 @@ def scoped_references(bound: DataFrame, at: DataFrame) -> DataFrame:
     return bound.join(target, ["path", "name"]).withColumn("occurrence", F.when(F.col("scope").eqNullSafe(F.col("own")), F.col("occurrence")).otherwise("shadowed")).drop("own")
 
 
-def rename_conflicts(bound: DataFrame, at: DataFrame, new: str) -> DataFrame:
-    """(path, line, column) where the new name is bound already in a scope in which the renamed one stands."""
-    mine = scoped_references(bound, at).where("occurrence <> 'shadowed'").select("path", "scope").distinct()
-    return bound.where(F.col("name") == new).join(mine, ["path"], "left_semi").select("path", "line", "column")
+def rename_conflicts(files: DataFrame, at: DataFrame, new: str) -> DataFrame:
+    """(path, line, column) of the occurrences that renaming the binding at (path, line, column) of Python files changes and at which the new
+    name is bound already, as seen from the scope that the occurrence stands in. A name that no scope binds has none."""
+
+    def work(text, line, column):
+        scopes = _Scopes()
+        try:
+            scopes.visit(ast.parse(text))
+        except (SyntaxError, ValueError, RecursionError):
+            return []
+        here = next(((s, n) for s, n, a, b, _ in scopes.uses if (a, b + 1) == (line, column)), None)
+        own = scopes.resolve(*here) if here else None
+        if own is None:
+            return []
+        mine = [(s, a, b + 1) for s, n, a, b, _ in scopes.uses if n == here[1] and scopes.resolve(s, n) == own]
+        return sorted({(a, b) for s, a, b in mine if scopes.resolve(s, new) is not None})
+
+    found = files.where("language = 'python' and text is not null").select("path", "text").join(at.select("path", "line", "column"), "path")
+    return _per_file(found, work, "path string, line int, column int", "text", "line", "column")
 
 
 # pattern search

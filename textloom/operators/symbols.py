@@ -10,7 +10,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import dedent, normalize, reindent
+from textloom.functions.text import dedent, identifier_span, indentation, normalize, reindent
 from textloom.operators.identifiers import identifiers
 
 BUCKETS = 256
@@ -80,10 +80,13 @@ def read_index(spark, path: str, name: str) -> DataFrame:
 
 
 def definitions(symbols: DataFrame, name: str, scope: str = "", index: DataFrame | None = None) -> DataFrame:
-    """Definitions within a folder. With an index, files that it doesn't name are skipped; files that are newer than the
-    index must be in ``index`` already, so that a stale index never hides a definition."""
-    some = symbols if not scope else symbols.where((F.col("path") == scope) | F.startswith("path", F.lit(scope.rstrip("/") + "/")))
-    some = some if index is None else some.join(index.where(F.col("name") == name).select("path").distinct(), "path", "left_semi")
+    """Definitions within a folder. With an index (name, path), files that it doesn't name are skipped; where it has no file of the name in the
+    folder, all files of the folder are searched, which one look at the few index rows of the name decides beforehand."""
+    within = lambda df: df if not scope else df.where((F.col("path") == scope) | F.startswith("path", F.lit(scope.rstrip("/") + "/")))
+    some = within(symbols)
+    if index is not None:
+        named = within(index.where(F.col("name") == name)).select("path").distinct()
+        some = some if named.isEmpty() else some.join(named, "path", "left_semi")
     return distinct_definitions(by_name(some, name))
 
 
@@ -94,45 +97,67 @@ def parents(symbols: DataFrame) -> DataFrame:
     return s.join(first.withColumnRenamed("qualified_name", "parent_name"), ["path", "parent_name"], "left").select("path", "symbol_idx", "parent_idx")
 
 
-def lookup_tier(query: str) -> Column:
-    """How a symbol's name meets a query: 1 exact, 2 dotted path, 3 dotted suffix, 4 ignoring case, 5 prefix, 6 the start of a
-    camel-case or underscored word, 7 substring; null for not at all."""
-    low = query.lower()
+def lookup_tier(query: str) -> tuple[Column, Column]:
+    """How a symbol meets a query: 1 its name, 2 its dotted path, 3 its dotted path without leading parts of the query, 4 its name in any
+    case, 5 the beginning of its name, 6 one whole camel-case or underscored word of it, 7 any part of it; null for not at all. Second, how many
+    parts of the query tier 3 leaves out, 0 for the other tiers."""
+    query = query.strip()
+    low, parts = query.lower(), query.split(".")
     name, qualified = F.col("name"), F.col("qualified_name")
-    word = rf"(?:(?<=[a-z0-9])(?=[A-Z])|_)(?i:\Q{query}\E)"
-    return (
-        F.when(name == query, 1)
-        .when(qualified == query, 2)
-        .when(F.endswith(qualified, F.lit("." + query)), 3)
-        .when(F.lower(name) == low, 4)
-        .when(F.startswith(F.lower(name), F.lit(low)), 5)
-        .when(name.rlike(word), 6)
-        .when(F.contains(F.lower(name), F.lit(low)), 7)
-    )
+    words = F.split(F.lower(F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2")), r"[\s_]+", -1)
+    tier, left_out = F.when(name == query, 1), F.lit(0)
+    if len(parts) > 1 and all(parts):
+        shorter = [".".join(parts[i:]) for i in range(1, len(parts))]
+        tier = tier.when(qualified == query, 2).when(qualified.isin(shorter), 3)
+        left_out = F.when((name == query) | (qualified == query), 0)
+        for i, x in enumerate(shorter, 1):
+            left_out = left_out.when(qualified == x, i)
+        left_out = left_out.otherwise(0)
+    tier = tier.when(F.lower(name) == low, 4).when(F.startswith(F.lower(name), F.lit(low)), 5)
+    return tier.when(F.array_contains(words, low), 6).when(F.contains(F.lower(name), F.lit(low)), 7), left_out
 
 
 def lookup(symbols: DataFrame, query: str, most: int = 5) -> DataFrame:
     """(path, tier, candidates, names): in each file the best tier that meets the query, how many symbols it has, and the first of them."""
-    found = symbols.withColumn("tier", lookup_tier(query)).where("tier is not null")
-    each = found.groupBy("path", "tier").agg(F.count("*").alias("candidates"), F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "symbol_idx", "qualified_name"))), lambda s: s.qualified_name), 1, most), ",").alias("names"))
-    return each.groupBy("path").agg(F.min("tier").alias("tier"), F.min_by("candidates", "tier").alias("candidates"), F.min_by("names", "tier").alias("names"))
+    tier, left_out = lookup_tier(query)
+    found = symbols.withColumn("tier", tier).withColumn("left_out", left_out).where("tier is not null")
+    each = found.groupBy("path", "tier", "left_out").agg(F.count("*").alias("candidates"), F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "symbol_idx", "qualified_name"))), lambda s: s.qualified_name), 1, most), ",").alias("names"))
+    best = F.struct("tier", "left_out")
+    return each.groupBy("path").agg(F.min("tier").alias("tier"), F.min_by("candidates", best).alias("candidates"), F.min_by("names", best).alias("names"))
 
 
 def nearest(symbols: DataFrame, at: DataFrame) -> DataFrame:
-    """(path, line, name, tier) for each (path, line): the narrowest symbol around it, else the first below, else the nearest above."""
-    inside = (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))
-    tier = F.when(inside, 0).when(F.col("start_line") > F.col("line"), 1).otherwise(2)
-    gap = F.when(inside, F.col("end_line") - F.col("start_line")).when(F.col("start_line") > F.col("line"), F.col("start_line") - F.col("line")).otherwise(F.col("line") - F.col("end_line"))
-    best = at.join(symbols, "path").groupBy("path", "line").agg(F.min(F.struct(tier.alias("tier"), gap.alias("gap"), "start_line", "symbol_idx", "name")).alias("m"))
-    return best.select("path", "line", F.col("m.name").alias("name"), F.col("m.tier").alias("tier"))
+    """(path, line, name, tier) for each (path, line) of a file with symbols: 0 the first symbol around it by index, else 1 the one that begins next at or below
+    it, else 2 the one that began last above it; of several that begin on one line the first by index.
+
+    Ranges meet lines in bins; beginnings above and below come from two ordered passes over a file's lines and beginnings."""
+    spots = at.select("path", "line").distinct()
+    around = _candidates(spots, symbols, ["symbol_idx", "name", "start_line", "end_line"]).groupBy("path", "line").agg(F.min_by("s_name", "s_symbol_idx").alias("around"))
+    heads = symbols.groupBy("path", F.col("start_line").alias("line")).agg(F.min_by("name", "symbol_idx").alias("head"))
+    both = heads.withColumn("kind", F.lit(1)).unionByName(spots.withColumn("head", F.lit(None).cast("string")).withColumn("kind", F.lit(0)))
+    w = Window.partitionBy("path").orderBy("line", "kind")
+    both = both.withColumn("below", F.first("head", True).over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("above", F.last("head", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = both.where("kind = 0").join(around, ["path", "line"], "left")
+    tier = F.when(F.col("around").isNotNull(), 0).when(F.col("below").isNotNull(), 1).when(F.col("above").isNotNull(), 2)
+    return found.select("path", "line", F.coalesce("around", "below", "above").alias("name"), tier.alias("tier")).where("tier is not null")
+
+
+def identify(rows: DataFrame, at: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, line, column, hash, text, token, start_column, end_column, symbol_*) of each cursor (path, line, column): its line, the identifier there (null if
+    none) with byte columns, and the narrowest symbol around it. ``rows`` are (path, line, hash, text). A cursor may stand one byte behind
+    its line; one further out, or on a line that isn't there, has no row."""
+    here = at.join(rows, ["path", "line"]).where((F.col("column") >= 1) & (F.col("column") <= F.octet_length("text") + 1))
+    here = here.withColumn("t", identifier_span(F.col("text"), F.col("column")))
+    here = here.select("path", "line", "column", "hash", "text", F.col("t.text").alias("token"), F.col("t.start_column").alias("start_column"), F.col("t.end_column").alias("end_column"))
+    return enclosing(here, symbols)
 
 
 def local_bundle(rows: DataFrame, symbols: DataFrame, kind: str, containers: list[str]) -> DataFrame:
     """(path, symbol_idx, used_idx): for each symbol of ``kind``, the other symbols of its file that its lines name. Containers don't
     count; a symbol with any name that several symbols have gets none."""
     tokens = identifiers(rows)
-    homes = symbols.where(F.col("kind") == kind).select("path", "symbol_idx", "start_line", "end_line", F.col("name").alias("own"))
-    named = homes.join(tokens, "path").where("line between start_line and end_line").select("path", "symbol_idx", "own", "token").distinct().where("token <> own")
+    homes = _candidates(tokens, symbols.where(F.col("kind") == kind), ["symbol_idx", "name", "start_line", "end_line"])
+    named = homes.where("token <> s_name").select("path", F.col("s_symbol_idx").alias("symbol_idx"), "token").distinct()
     others = symbols.where(~F.col("kind").isin(containers)).select("path", F.col("symbol_idx").alias("used_idx"), F.col("name").alias("token"))
     hits = named.join(others, ["path", "token"])
     many = hits.groupBy("path", "symbol_idx", "token").count().where("count > 1").select("path", "symbol_idx").distinct()
@@ -159,16 +184,21 @@ def map_detail(symbols: DataFrame) -> DataFrame:
 
 
 def replace(files: DataFrame, symbols: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(path, new_text, outcome): the lines of a symbol replaced by a new body (path, symbol, body), which takes the indentation of the
-    symbol's first line. ``symbol`` is a name or qualified name; outcome is ok, not-found or ambiguous, and new_text null but for ok."""
-    hits = bodies.join(symbols, "path", "left").where((F.col("name") == F.col("symbol")) | (F.col("qualified_name") == F.col("symbol")))
-    best = hits.groupBy("path", "symbol").agg(F.count("*").alias("n"), F.min("start_line").alias("start_line"), F.min_by("end_line", "start_line").alias("end_line"))
-    rows = files.join(bodies, "path").join(best, ["path", "symbol"], "left")
-    lines = F.split("text", "\n", -1)
-    first = F.get(lines, F.col("start_line") - 1)
-    body = reindent(dedent(normalize(F.col("body"))), F.regexp_extract(first, "^([ \t]*)", 1))
-    spliced = F.concat(F.slice(lines, F.lit(1), F.col("start_line") - 1), F.array(body), F.slice(lines, F.col("end_line") + 1, F.size(lines)))
-    outcome = F.when(F.col("n").isNull(), "not-found").when(F.col("n") > 1, "ambiguous").otherwise("ok")
+    """(path, new_text, outcome), one row a file: the lines of its symbols replaced by new bodies (path, symbol, body), each of which takes the
+    indentation of the symbol's first line. ``symbol`` is a name or qualified name. A file changes as a whole or not: outcome is ok, or the worst of its
+    bodies' not-found, ambiguous and overlap (two bodies whose symbols share lines), and new_text is null but for ok."""
+    hits = bodies.join(symbols, "path").where((F.col("name") == F.col("symbol")) | (F.col("qualified_name") == F.col("symbol")))
+    best = hits.groupBy("path", "symbol", "body").agg(F.countDistinct("symbol_idx").alias("n"), F.min("start_line").alias("start_line"), F.min_by("end_line", "start_line").alias("end_line"))
+    each = bodies.distinct().join(best, ["path", "symbol", "body"], "left")
+    state = F.when(F.col("n").isNull(), 0).when(F.col("n") > 1, 1).otherwise(2)
+    packed = each.groupBy("path").agg(F.min(state).alias("state"), F.array_sort(F.collect_list(F.struct("start_line", "end_line", "body"))).alias("p"))
+    packed = packed.withColumn("apart", F.forall(F.transform("p", lambda x, i: (i == 0) | (x.start_line > F.get("p", i - 1).end_line)), lambda ok: F.coalesce(ok, F.lit(True))))
+    rows = files.select("path", F.split("text", "\n", -1).alias("l")).join(packed, "path")
+    between = lambda a, b: F.slice("l", a + 1, F.greatest(F.lit(0), b - a - 1))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    body = lambda x: F.array(reindent(dedent(normalize(x.body)), indentation(F.get("l", x.start_line - 1))))
+    spliced = F.aggregate("p", start, lambda a, x: F.struct(x.end_line.alias("at"), F.concat(a.out, between(a.at, x.start_line), body(x)).alias("out")), lambda a: F.concat(a.out, between(a.at, F.size("l") + 1)))
+    outcome = F.when(F.col("state") == 0, "not-found").when(F.col("state") == 1, "ambiguous").when(~F.col("apart"), "overlap").otherwise("ok")
     return rows.select("path", F.when(outcome == "ok", F.array_join(spliced, "\n")).alias("new_text"), outcome.alias("outcome"))
 
 

@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import line_hash
+from textloom.operators import anchored as A
 from textloom.operators import edits as E
 from textloom.operators import parsing
 from textloom.operators import symbols as Y
-from textloom.sources.corpus import lines
-
-
-def hashed_lines(files: DataFrame) -> DataFrame:
-    return lines(files).withColumn("hash", line_hash("text")).select("path", "line", "hash", "text")
 
 
 def _take(files: DataFrame, changed: DataFrame) -> DataFrame:
@@ -28,8 +23,7 @@ def run(files: DataFrame, bodies: DataFrame | None = None, anchored: DataFrame |
     if bodies is not None:
         now = _take(now, Y.replace(now.select("path", "text"), parsing.symbols(now), bodies))
     if anchored is not None:
-        done = E.apply_relocating(anchored, hashed_lines(now)).join(now.select("path", F.endswith("text", F.lit("\n")).alias("ended")), "path")
-        now = _take(now, done.withColumn("new_text", F.when(F.col("ended") & (F.col("new_text") != ""), F.concat("new_text", F.lit("\n"))).otherwise(F.col("new_text"))))
+        now = _take(now, A.apply(now.select("path", "text"), anchored))
     if replace is not None:
         now = _take(now, E.replace_text(now, *replace))
     changed = now.join(files.select("path", F.col("text").alias("before")), "path").where("not text <=> before")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+from textloom.operators import anchored, identifiers, output, parsing, rename
 from textloom.operators import edits as E
-from textloom.operators import identifiers, output, parsing, rename
 from textloom.operators import lines as L
 from textloom.operators import symbols as Y
 from textloom.plans import sql as S
@@ -66,26 +67,50 @@ def symbol_parents(spark, sf):
     return Y.parents(corpus.block_symbols(corpus.document_files(spark, sf)))
 
 
-_TIER = "CASE WHEN name = 'Section_1' THEN 1 WHEN qualified_name = 'Section_1' THEN 2 WHEN suffix(qualified_name, '.Section_1') THEN 3 WHEN lower(name) = 'section_1' THEN 4 WHEN starts_with(lower(name), 'section_1') THEN 5 WHEN contains(lower(name), 'section_1') THEN 7 END"
+def _lookup(wanted: str, shorter: str = "") -> str:
+    low = wanted.lower()
+    words = "string_split_regex(lower(regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[\\s_]+')"
+    tier = f"CASE WHEN name = '{wanted}' THEN 1 WHEN qualified_name = '{wanted}' THEN 2 WHEN qualified_name = '{shorter}' THEN 3 WHEN lower(name) = '{low}' THEN 4 WHEN starts_with(lower(name), '{low}') THEN 5 WHEN list_contains({words}, '{low}') THEN 6 WHEN contains(lower(name), '{low}') THEN 7 END"
+    return f"""WITH {_DOC}, t AS (SELECT *, {tier} AS tier FROM symbols), k AS (SELECT path, tier, count(*) AS candidates, array_to_string(list_slice(list(qualified_name ORDER BY start_line, end_line, symbol_idx), 1, 5), ',') AS names FROM t WHERE tier IS NOT NULL GROUP BY ALL)
+SELECT path, tier, candidates, names FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY tier) AS n FROM k) WHERE n = 1"""
 
 
-@query(f"""WITH {_DOC}, t AS (SELECT *, {_TIER} AS tier FROM symbols), k AS (SELECT path, tier, count(*) AS candidates, array_to_string(list_slice(list(qualified_name ORDER BY start_line, end_line, symbol_idx), 1, 5), ',') AS names FROM t WHERE tier IS NOT NULL GROUP BY ALL)
-SELECT path, tier, candidates, names FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY tier) AS n FROM k) WHERE n = 1""")
+@query(_lookup("Section_1"))
 def symbol_lookup(spark, sf):
     return Y.lookup(corpus.block_symbols(corpus.document_files(spark, sf)), "Section_1")
 
 
-_NEAR = "CASE WHEN line BETWEEN start_line AND end_line THEN 0 WHEN start_line > line THEN 1 ELSE 2 END"
-_GAP = "CASE WHEN line BETWEEN start_line AND end_line THEN end_line - start_line WHEN start_line > line THEN start_line - line ELSE line - end_line END"
+@query(_lookup("1"))
+def symbol_lookup_word(spark, sf):
+    return Y.lookup(corpus.block_symbols(corpus.document_files(spark, sf)), "1")
 
 
-@query(f"""WITH {_CHAT}, chosen AS (SELECT * FROM symbols WHERE kind = 'assistant'), spots AS (SELECT path, line FROM lines WHERE line % 2 = 1)
-SELECT path, line, name, tier FROM (SELECT spots.path, line, name, {_NEAR} AS tier, row_number() OVER (PARTITION BY spots.path, line ORDER BY {_NEAR}, {_GAP}, start_line, symbol_idx) AS n FROM spots JOIN chosen ON spots.path = chosen.path) WHERE n = 1""")
+@query(_lookup("book.file_1.section_1", "file_1.section_1"))
+def symbol_lookup_suffix(spark, sf):
+    return Y.lookup(corpus.block_symbols(corpus.document_files(spark, sf)), "book.file_1.section_1")
+
+
+_NEAR = "CASE WHEN line BETWEEN start_line AND end_line THEN 0 WHEN start_line >= line THEN 1 ELSE 2 END"
+_GAP = "CASE WHEN line BETWEEN start_line AND end_line THEN 0 ELSE abs(start_line - line) END"
+
+
+@query(f"""WITH {_CHAT}, chosen AS (SELECT * FROM symbols WHERE kind = 'assistant')
+SELECT path, line, name, tier FROM (SELECT lines.path, line, name, {_NEAR} AS tier, row_number() OVER (PARTITION BY lines.path, line ORDER BY {_NEAR}, {_GAP}, symbol_idx) AS n FROM lines JOIN chosen ON lines.path = chosen.path) WHERE n = 1""")
 def nearest_symbol(spark, sf):
-    at = corpus.lines(corpus.chat_files(spark, sf)).where("line % 2 = 1").select("path", "line")
+    at = corpus.lines(corpus.chat_files(spark, sf)).select("path", "line")
     return Y.nearest(corpus.chat_symbols(spark, sf).where("kind = 'assistant'"), at)
 
 
+@query(f"""WITH {_CHAT}, {S.hashes('lines')}, cut AS (SELECT path, line, hash, text, length(text) // 2 + 1 AS i FROM lines JOIN hashed USING (text) WHERE text <> ''),
+spot AS (SELECT *, strlen(substr(text, 1, i - 1)) + 1 AS c, regexp_extract(substr(text, 1, i - 1), '[A-Za-z0-9_]*$') AS a, regexp_extract(substr(text, i), '^[A-Za-z0-9_]*') AS b FROM cut), {S.enclosing('lines', S.LAST)}
+SELECT path, line, c::int AS "column", hash, text, nullif(a || b, '') AS token, CASE WHEN a || b <> '' THEN (c - length(a))::int END AS start_column, CASE WHEN a || b <> '' THEN (c + length(b))::int END AS end_column, {S.SYMBOL_COLUMNS} FROM spot LEFT JOIN inside USING (path, line)""")
+def identify(spark, sf):
+    rows = _rows(spark, sf)
+    half = F.expr("char_length(text) div 2").cast("int")
+    at = rows.where("text <> ''").select("path", "line", (F.octet_length(F.left("text", half)) + 1).alias("column"))
+    return Y.identify(rows, at, corpus.chat_symbols(spark, sf))
+
+
 @query(f"""WITH {_DOC}, tok AS (SELECT DISTINCT path, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS token FROM lines),
 named AS (SELECT * REPLACE ('w' || symbol_idx % 7 AS name) FROM symbols), words AS (SELECT path, line, CASE WHEN length(token) % 2 = 0 THEN 'w' || length(token) % 7 ELSE token END AS token FROM tok),
 h AS (SELECT DISTINCT s.path, s.symbol_idx, w.token FROM named s JOIN words w ON s.path = w.path AND w.line BETWEEN s.start_line AND s.end_line WHERE s.kind = 'section' AND w.token <> s.name),
@@ -152,21 +177,21 @@ def overlapping_edits(spark, sf):
     return E.overlaps(hits.select("path", F.col("line").alias("edit_idx"), F.lit("replace_lines").alias("op"), F.col("line").alias("start_line"), (F.col("line") + F.char_length("text") % 3).alias("end_line")))
 
 
-@query(f"""WITH {_EDITS}, stale AS (SELECT path, line AS edit_idx, line + 3 AS line, hash FROM rows WHERE line % 4 = 1), n AS (SELECT path, greatest(20, least(100, 5 * count(*))) AS w FROM stale GROUP BY path),
+@query(f"""WITH {_EDITS}, stale AS (SELECT path, line AS edit_idx, line + 3 AS line, hash FROM rows), n AS (SELECT path, greatest(20, least(100, 5 * count(*))) AS w FROM stale GROUP BY path),
 b AS (SELECT s.path, s.edit_idx, s.line, r.line AS new_line FROM stale s JOIN n USING (path) JOIN rows r ON r.path = s.path AND r.hash = s.hash AND abs(r.line - s.line) <= w)
 SELECT path, edit_idx, line, min(new_line) AS new_line FROM b GROUP BY ALL HAVING count(*) = 1""".replace("GROUP BY ALL HAVING", "GROUP BY path, edit_idx, line HAVING"))
 def relocate_anchors(spark, sf):
     rows = _rows(spark, sf)
-    return E.relocate(rows.where("line % 4 = 1").select("path", F.col("line").alias("edit_idx"), (F.col("line") + 3).alias("line"), "hash"), rows)
+    return E.relocate(rows.select("path", F.col("line").alias("edit_idx"), (F.col("line") + 3).alias("line"), "hash"), rows)
 
 
 _TOK = r"list_distinct(list_filter(regexp_split_to_array({}, '[ \t\n\r\f\x0B]+'), lambda t: t <> ''))"
-_BAND = f"""WITH {S.DOCS}, {S.LINES}, k AS (SELECT *, {_TOK.format('text')} AS t FROM lines), w AS (SELECT path, line AS edit_idx, line + 2 AS line, t FROM (SELECT path, line, {_TOK.format("text || ' zz'")} AS t FROM lines WHERE line % 3 = 1)),
+_BAND = f"""WITH {S.DOCS}, {S.LINES}, k AS (SELECT *, {_TOK.format('text')} AS t FROM lines), w AS (SELECT path, line AS edit_idx, line + 2 AS line, t FROM (SELECT path, line, {_TOK.format("text || ' zz'")} AS t FROM lines)),
 b AS (SELECT w.path, w.edit_idx, w.line, k.line AS near_line, CASE WHEN len(w.t) > 0 AND len(k.t) > 0 THEN len(list_intersect(w.t, k.t))::double / greatest(len(w.t), len(k.t)) ELSE 0 END AS similarity FROM w JOIN k ON w.path = k.path AND abs(w.line - k.line) <= 50)"""
 
 
 def _wanted(rows: DataFrame) -> DataFrame:
-    return rows.where("line % 3 = 1").select("path", F.col("line").alias("edit_idx"), (F.col("line") + 2).alias("line"), F.concat("text", F.lit(" zz")).alias("old_text"))
+    return rows.select("path", F.col("line").alias("edit_idx"), (F.col("line") + 2).alias("line"), F.concat("text", F.lit(" zz")).alias("old_text"))
 
 
 @query(_BAND + " SELECT path, edit_idx, min(near_line) AS new_line FROM b WHERE similarity > 0.8 GROUP BY path, edit_idx HAVING count(*) = 1")
@@ -175,7 +200,7 @@ def relocate_fuzzy(spark, sf):
     return E.relocate_fuzzy(_wanted(rows), rows)
 
 
-@query(_BAND + " SELECT path, edit_idx, rank::int AS rank, near_line, similarity FROM (SELECT *, row_number() OVER (PARTITION BY path, edit_idx ORDER BY similarity DESC, abs(near_line - line), near_line) AS rank FROM b WHERE similarity >= 0.3) WHERE rank <= 3")
+@query(_BAND + " SELECT path, edit_idx, rank::int AS rank, near_line, similarity FROM (SELECT *, row_number() OVER (PARTITION BY path, edit_idx ORDER BY similarity DESC, near_line) AS rank FROM b WHERE similarity >= 0.3) WHERE rank <= 3")
 def similar_lines(spark, sf):
     rows = corpus.lines(corpus.document_files(spark, sf))
     return E.similar_lines(_wanted(rows), rows)
@@ -226,6 +251,37 @@ def diff_stats(spark, sf):
     return E.diff_stats(E.diff(pairs)).where("added > 0").select("path", "added", "removed")
 
 
+@query(f"""WITH {S.DOCS}, odd AS (SELECT path, replace(replace(text, ' the', chr(160) || 'the'), chr(10), ' ' || chr(10)) AS text FROM files)
+SELECT path, replace(text, chr(160) || 'the', ' THE') AS new_text, ((length(text) - length(replace(text, chr(160) || 'the', ''))) // 4)::bigint AS hits FROM odd WHERE contains(text, chr(160) || 'the')""")
+def replace_fuzzy_text(spark, sf):
+    """Hits in texts whose blanks before the word aren't plain ones and whose lines end in blanks."""
+    odd = F.replace(F.replace("text", F.lit(" the"), F.lit("\u00a0the")), F.lit("\n"), F.lit(" \n"))
+    return E.replace_fuzzy(corpus.document_files(spark, sf).withColumn("text", odd), " the", " THE", everywhere=True)
+
+
+_REQUESTS = [  # path, text, (op, line, hash of, content, end line, hash of, new text)
+    ("moved", "a1\nb2\nc3\nd4", [("set_line", 1, "c3", None, None, None, "x")], "a1\nb2\nx\nd4"),
+    ("range", "n\na1\nb2\nc3", [("replace_lines", 1, "a1", None, 2, "b2", "x\ny\nz")], "n\nx\ny\nz\nc3"),
+    ("like", "one two three four five six\nrest", [("set_line", 2, "gone", "one two three four five 6ix six", None, None, "x")], "x\nrest"),
+    ("indent", "def f():\n    return 1", [("set_line", 2, "    return 1", None, None, None, "return 2")], "def f():\n    return 2"),
+    ("echo", "a1\nb2\nc3", [("set_line", 2, "b2", None, None, None, "a1\nx\nc3"), ("insert_after", 3, "c3", None, None, None, "c3\nd4")], "a1\nx\nc3\nd4"),
+    ("wrap", "call(alpha, beta)\nb2", [("replace_lines", 1, "call(alpha, beta)", None, 2, "b2", "call(alpha,\n  beta)\nx")], "call(alpha, beta)\nx"),
+    ("merge", "x = a +\n    b\nc3", [("set_line", 1, "x = a +", None, None, None, "x = a + b")], "x = a + b\nc3"),
+    ("copied", "a1\nb2", [("set_line", 1, "a1", None, None, None, "1:0af|x")], "x\nb2"),
+    ("stale", "a1\nb2", [("set_line", 1, "zz", None, None, None, "x")], None),
+    ("clash", "a1\nb2\nc3", [("replace_lines", 1, "a1", None, 2, "b2", "x"), ("set_line", 2, "b2", None, None, None, "y")], None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {'NULL' if new is None else 'replace(' + repr(new.replace(chr(10), '|')) + ', ' + repr('|') + ', chr(10))'})" for p, _, _, new in _REQUESTS) + ") AS t(path, new_text)")
+def edit_requests(spark, sf):
+    files = spark.createDataFrame([(p, t) for p, t, *_ in _REQUESTS], "path string, text string")
+    digits = lambda x: None if x is None else T.short_hash(x)
+    rows = [(p, i, op, line, digits(of), content, end, digits(end_of), None, new) for p, _, es, _ in _REQUESTS for i, (op, line, of, content, end, end_of, new) in enumerate(es)]
+    edits = spark.createDataFrame(rows, "path string, edit_idx int, op string, start_line int, start_hash string, start_text string, end_line int, end_hash string, end_text string, new_text string")
+    return anchored.apply(files, edits).select("path", "new_text")
+
+
 # rename
 
 
@@ -294,14 +350,12 @@ def code_search(spark, sf):
     return parsing.ast_search(_code(spark), "$a + $b").select("path", "match_idx", "start_line", "end_line", F.col("captures")["a"].alias("a"))
 
 
-@query(_values([("a.py", 4, 17), ("a.py", 5, 13)], 'path, line, "column"'))
+@query(_values([("a.py", 5, 9), ("a.py", 6, 16)], 'path, line, "column"'))
 def code_rename_conflicts(spark, sf):
-    at = spark.createDataFrame([("a.py", 5, 9)], "path string, line int, column int")
-    return parsing.rename_conflicts(parsing.bindings(_code(spark)), at, "x").join(parsing.bindings(_code(spark)).where("line in (4, 5)").select("path", "line", "column"), ["path", "line", "column"], "left_semi")
-
-
-
-
+    """y in f of a.py, where x is a parameter; y in f of e.py, where another function alone has x."""
+    apart = spark.createDataFrame([("e.py", "python", "def f():\n    y = 1\n    return y\n\ndef g(x):\n    return x\n")], "path string, language string, text string")
+    at = spark.createDataFrame([("a.py", 5, 9), ("e.py", 2, 5)], "path string, line int, column int")
+    return parsing.rename_conflicts(_code(spark).unionByName(apart), at, "x")
 @query(_values([("a.c", 14), ("a.c", 26)], "path, byte"))
 def code_references_outside_comments(spark, sf):
     text = 'int f; /* n */n = 1; /* */n(); char *s = "n"; // n\n'

@@ -161,9 +161,9 @@ def line_identifiers(spark, sf):
     return identifiers.identifiers(corpus.lines(corpus.chat_files(spark, sf)))
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN len(i) > 0 THEN i[len(i)] END AS last_identifier, nullif(regexp_extract(substr(text, 1, 9), '[A-Za-z0-9_]*$') || regexp_extract(substr(text, 10), '^[A-Za-z0-9_]*'), '') AS at_ten,
+@query(r"""SELECT conv_id, turn, CASE WHEN len(i) > 0 THEN i[len(i)] END AS last_identifier, nullif(regexp_extract(substr(raw, 1, least(9, length(raw) - 1)), '[A-Za-z0-9_]*$') || regexp_extract(substr(raw, least(10, length(raw))), '^[A-Za-z0-9_]*'), '') AS at_ten,
 nullif(trim(regexp_extract(text, '^\s{0,3}#{1,6}[ \t]+(.*?)[ \t]*#*[ \t]*$', 1)), '') AS heading, regexp_full_match(role, '[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z_][A-Za-z0-9_]*)*') AS qualified, regexp_full_match(role, '[\p{L}_][\p{L}\p{N}_]*') AS plain
-FROM (SELECT *, list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda t: NOT regexp_matches(t, '^[0-9]')) AS i FROM conversations)""")
+FROM (SELECT *, list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda t: NOT regexp_matches(t, '^[0-9]')) AS i, regexp_replace(regexp_replace(regexp_replace(text, '[\x{80}-\x{7FF}]', '??', 'g'), '[\x{800}-\x{FFFF}]', '???', 'g'), '[\x{10000}-\x{10FFFF}]', '????', 'g') AS raw FROM conversations)""")
 def identifier_functions(spark, sf):
     c = F.col("text")
     return corpus.read(spark, sf, "conversations").select("conv_id", "turn", T.last_identifier(c).alias("last_identifier"), T.identifier_at(c, F.lit(10)).alias("at_ten"), T.heading_name(c).alias("heading"), T.is_qualified_name(F.col("role")).alias("qualified"), T.is_plain_identifier(F.col("role")).alias("plain"))
@@ -197,10 +197,12 @@ def line_end_majority(spark, sf):
     return corpus.document_files(spark, sf).select("path", name(T.eol_majority(x)).alias("two"), name(T.eol_majority3(x)).alias("three"))
 
 
-@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '(?m)[ \t]+$', '', 'g'), '[\x{2018}-\x{201B}]', '''', 'g'), '[\x{201C}-\x{201F}]', '"', 'g') AS fuzzy, replace(text, chr(7), '\u0007') AS escaped FROM conversations""")
+@query(r"""WITH x AS (SELECT conv_id, turn, regexp_replace(replace(text, 'th', chr(8217) || chr(8212) || chr(65112)) || chr(160) || chr(10) || '-' || chr(8195) || '.' || chr(12288), '[\t\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+(\n|$)', '\1', 'g') AS x, replace(text, 'e', chr(27)) AS y FROM conversations)
+SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[\x{2018}-\x{201B}]', '''', 'g'), '[\x{201C}-\x{201F}]', '"', 'g'), '[\x{2010}-\x{2015}\x{2212}\x{FE63}\x{FF0D}]', '-', 'g'), '[\x{A0}\x{2002}-\x{200A}\x{202F}\x{205F}\x{3000}]', ' ', 'g') AS fuzzy, replace(y, chr(27), '\u001b') AS escaped FROM x""")
 def fuzzy_and_escape(spark, sf):
     c = F.col("text")
-    return corpus.read(spark, sf, "conversations").select("conv_id", "turn", T.fuzzy(c).alias("fuzzy"), T.escape_controls(c).alias("escaped"))
+    odd = F.concat(F.replace(c, F.lit("th"), F.lit("\u2019\u2014\ufe58")), F.lit("\u00a0\n-\u2003.\u3000"))
+    return corpus.read(spark, sf, "conversations").select("conv_id", "turn", T.fuzzy(odd).alias("fuzzy"), T.escape_controls(F.replace(c, F.lit("e"), F.lit("\x1b"))).alias("escaped"))
 
 
 _TOK = r"list_distinct(list_filter(regexp_split_to_array({}, '[ \t\n\r\f\x0B]+'), lambda t: t <> ''))"
@@ -221,10 +223,10 @@ def make_targets(spark, sf):
     return line_symbols.symbols(rows, "make")
 
 
-@query(rf"""WITH {S.DOCS}, {S.LINES}, m AS (SELECT path, line, repeat('#', line % 7) || ' ' || substr(text, 1, 20) AS text FROM lines), h AS (SELECT path, line, line % 7 AS level, trim(regexp_replace(substr(text, line % 7 + 1), '#+[ \t]*$', '')) AS name FROM m WHERE line % 7 > 0 AND regexp_matches(text, '^#+[ \t]+.*$')),
+@query(rf"""WITH {S.DOCS}, {S.LINES}, m AS (SELECT path, line, repeat('#', line % 7) || ' ' || text AS text FROM lines), h AS (SELECT path, line, line % 7 AS level, trim(regexp_replace(substr(text, line % 7 + 1), '#+[ \t]*$', '')) AS name FROM m WHERE line % 7 > 0 AND regexp_matches(text, '^#+[ \t]+.*$')),
 n AS (SELECT path, max(line) AS n FROM lines GROUP BY path) SELECT path, line, level::int AS level, name, coalesce((SELECT min(b.line) FROM h b WHERE b.path = h.path AND b.line > h.line AND b.level <= h.level) - 1, n)::int AS end_line FROM h JOIN n USING (path)""")
 def heading_ranges(spark, sf):
-    rows = corpus.lines(corpus.document_files(spark, sf)).withColumn("text", F.concat(F.repeat(F.lit("#"), F.col("line") % 7), F.lit(" "), F.substring("text", 1, 20)))
+    rows = corpus.lines(corpus.document_files(spark, sf)).withColumn("text", F.concat(F.repeat(F.lit("#"), F.col("line") % 7), F.lit(" "), "text"))
     return line_symbols.heading_ranges(rows).withColumn("name", F.trim("name"))
 
 
@@ -245,10 +247,10 @@ def classify_content(spark, sf):
     return corpus.read(spark, sf, "pages").select("page_id", detect.category(content, mime).alias("category"))
 
 
-@query(rf"""WITH {S.CHATS}, l AS (SELECT path, string_split(text, chr(10)) AS l FROM files), m AS (SELECT path, l, coalesce(list_min(list_transform(list_filter(l, lambda x: trim(replace(x, chr(9), ' ')) <> ''), lambda x: length(regexp_extract(x, '^[ \t]*')))), 0) AS n FROM l)
-SELECT path, array_to_string(list_transform(l, lambda x: CASE WHEN trim(replace(x, chr(9), ' ')) = '' THEN '' ELSE substr(x, n + 1) END), chr(10)) AS bare, array_to_string(list_transform(l, lambda x: CASE WHEN x = '' THEN '' ELSE '  ' || x END), chr(10)) AS deeper FROM m""")
+@query(rf"""WITH {S.CHATS}, l AS (SELECT path, string_split(text || chr(10) || '   ' || chr(10) || '  y', chr(10)) AS l FROM files), m AS (SELECT path, l, coalesce(list_min(list_transform(list_filter(l, lambda x: trim(replace(x, chr(9), ' ')) <> ''), lambda x: length(regexp_extract(x, '^[ \t]*')))), 0) AS n FROM l)
+SELECT path, array_to_string(list_transform(l, lambda x: substr(x, n + 1)), chr(10)) AS bare, array_to_string(list_transform(l, lambda x: CASE WHEN x = '' THEN '' ELSE '  ' || x END), chr(10)) AS deeper FROM m""")
 def dedent_and_reindent(spark, sf):
-    c = F.col("text")
+    c = F.concat("text", F.lit("\n   \n  y"))
     return corpus.chat_files(spark, sf).select("path", T.dedent(T.reindent(c, F.lit("    "))).alias("bare"), T.reindent(c, F.lit("  ")).alias("deeper"))
 
 

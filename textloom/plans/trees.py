@@ -39,22 +39,22 @@ placed AS (SELECT *, 0 AS depth, [position::bigint] AS path FROM nodes WHERE par
 
 @query(f"WITH RECURSIVE {_NODES} SELECT doc_id, id, depth, (row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1)::int AS number FROM placed")
 def tree_preorder(spark, sf):
-    return outline.preorder(outline.paths(nodes(spark, sf), 3)).select("doc_id", "id", "depth", "number")
+    return outline.preorder(outline.paths(nodes(spark, sf))).select("doc_id", "id", "depth", "number")
 
 
 @query(f"""WITH RECURSIVE {_NODES}, kept AS (SELECT * FROM placed WHERE page = 3 AND kind <> 'section') SELECT k.doc_id, k.id, p.id AS parent_id, k.kind, k.depth FROM kept k LEFT JOIN kept p ON k.doc_id = p.doc_id AND k.parent_id = p.id""")
 def tree_page(spark, sf):
-    return outline.select(outline.paths(nodes(spark, sf), 3), page=3).select("doc_id", "id", "parent_id", "kind", "depth")
+    return outline.select(outline.paths(nodes(spark, sf)), page=3).select("doc_id", "id", "parent_id", "kind", "depth")
 
 
 @query(f"""WITH RECURSIVE {_NODES}, kept AS (SELECT * FROM placed WHERE kind IN ('section', 'paragraph') AND depth <= 2) SELECT k.doc_id, k.id, p.id AS parent_id, k.kind, k.depth FROM kept k LEFT JOIN kept p ON k.doc_id = p.doc_id AND k.parent_id = p.id""")
 def tree_kinds(spark, sf):
-    return outline.select(outline.paths(nodes(spark, sf), 3), kinds=["section", "paragraph"], depth=2).select("doc_id", "id", "parent_id", "kind", "depth")
+    return outline.select(outline.paths(nodes(spark, sf)), kinds=["section", "paragraph"], depth=2).select("doc_id", "id", "parent_id", "kind", "depth")
 
 
 @query(f"""WITH RECURSIVE {_NODES}, tops AS (SELECT doc_id, min(position) AS position FROM nodes WHERE kind = 'section' GROUP BY doc_id) SELECT p.doc_id, p.id, p.depth FROM placed p JOIN tops t ON p.doc_id = t.doc_id AND p.path[1] = t.position""")
 def tree_subtree(spark, sf):
-    placed = outline.paths(nodes(spark, sf), 3)
+    placed = outline.paths(nodes(spark, sf))
     top = placed.where("kind = 'section'").groupBy("doc_id").agg(F.min_by("id", "position").alias("id"))
     return outline.subtree(placed, top).select("doc_id", "id", "depth")
 

@@ -95,9 +95,14 @@ def looks_binary(content: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, text) of UTF-8 text files below a folder, but for those in index folders."""
+    """(path, text) of UTF-8 text files below a folder, but for those in index folders; paths are filtered before contents are read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return raw.where(~looks_binary(F.col("content"))).select("path", F.col("content").cast("string").alias("text"))
+    some = raw.where(~F.contains("path", F.lit(f"/{INDEX_FOLDER}/")))
+    return some.where(~looks_binary(F.col("content"))).select("path", F.col("content").cast("string").alias("text"))
+
+
+#: Folders of this name hold what ``plans.update`` writes beside a corpus.
+INDEX_FOLDER = ".textloom"
 
 
 def scoped(files: DataFrame, cached: bool = False, others: bool = False, ignored: bool = False) -> DataFrame:

@@ -211,7 +211,7 @@ def strip_copied_prefixes(text: Column) -> Column:
 
 
 #: Prefixes of copied lines, and how many lines must be there for each to be taken away.
-PREFIXES = ((r"^[\s>]*\d+:[0-9a-zA-Z]{1,16}\|", 1), (r"^[0-9a-f]{3}\|", 2), (r"^\+(?!\+)", 1))
+PREFIXES = ((r"\A[>\s]*[0-9]+:[A-Za-z0-9]{1,16}[|]", 1), (r"\A[a-f0-9]{3}[|]", 2), (r"\A[+](?![+])", 1))
 
 
 def eol_majority(text: Column) -> Column:

@@ -233,6 +233,34 @@ def test_link_loses_nothing_in_a_cell(second):
             assert len(set(zip(found, want))) == len(set(found)) == len(set(want))
 
 
+def test_near_groups_lose_no_link(spark):
+    """Fingerprints in pairs and chains at just the threshold, sketches at just an eighth, against all pairs."""
+    rng = np.random.default_rng(11)
+    n = 1200
+    fp = rng.integers(0, 2**63, (n, 2), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (n, 2), dtype=np.uint64)
+    sketch = rng.integers(1, 2**16, (n, simhash.SKETCH)).astype(np.uint16)
+    sketch[:, 0] = 7  # one long posting
+    sketch[rng.random(n) < 0.3, 20:] = 0
+    for i in range(n):
+        if i % 4:
+            flips = np.zeros(128, np.uint8)
+            flips[rng.choice(128, rng.integers(20, 24), replace=False)] = 1
+            fp[i] = fp[i - 1] ^ np.packbits(flips).view(np.uint64)
+            size = max(np.count_nonzero(sketch[[i, i - 1]], axis=1))
+            same = rng.choice(np.flatnonzero(sketch[i - 1]), size // 8 + rng.integers(-1, 2), replace=False)
+            sketch[i, same] = sketch[i - 1, same]
+    i, j = np.triu_indices(n, 1)
+    near = simhash.distance(fp[i], fp[j]) <= simhash.THRESHOLD
+    i, j = i[near], j[near]
+    ok = simhash.alike(sketch[i], sketch[j])
+    want = components(n, list(zip(i[ok].tolist(), j[ok].tolist())))
+    assert 300 < ok.sum() < near.sum()
+    table = spark.createDataFrame([(k, *fp[k].view(np.int64).tolist(), sketch[k].tobytes(), k) for k in range(n)], "doc_id long, lo long, hi long, sketch binary, row long")
+    got = {r.doc_id: r.group_id for r in simhash.group_rows(table, simhash.THRESHOLD, simhash.Workspace(spark, "links")).collect()}
+    found = [got.get(k, k) for k in range(n)]
+    assert len(set(zip(found, want))) == len(set(found)) == len(set(want))
+
+
 def test_near_edges(spark):
     df = frame(spark, EDGES)
     got = [(r.doc_id, r.group_id, r.kept) for r in simhash.near_duplicates(df, "doc_id", "text").collect()]

@@ -224,10 +224,129 @@ def link(threshold: int, block: int = 64):
     return cell
 
 
+#: Members up to which a posting's pairs are formed along the sorted rows; rows of a longer one that are compared with all later ones at once.
+LONG, ROWS = 256, 256
+_PLACES = (1 << 22) - 1
+
+
+class Postings:
+    """Entries (key, node, lo, hi, root) of fingerprints, so that any two that are linked have one key in common.
+
+    A key is a place of the sketch with its value. Linked sketches share an eighth of the values that either has, so an eighth of the values of
+    each; in one order of all keys they then meet within the first values of both, all but one less than that eighth. Keys that are frequent in
+    a sample come last: what is found doesn't depend on the order, only the length of the postings does."""
+
+    def __init__(self, sketch: np.ndarray) -> None:
+        key, count = np.unique(self._keys(sketch)[sketch != 0], return_counts=True)
+        self.key, self.count = key[count > 1], count[count > 1].astype(_U)
+
+    @staticmethod
+    def _keys(sketch: np.ndarray) -> np.ndarray:
+        key = (np.arange(SKETCH, dtype=_U) << _U(16)) | sketch
+        return (key * _U(0x9E3779B1)) & _U(_PLACES)  # one to one, as the factor is odd
+
+    def entries(self, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, key) of the entries of sketches (n, 64)."""
+        key = self._keys(sketch)
+        count = np.zeros(key.shape, _U)
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            count = np.where(self.key[at] == key, self.count[at], _U(0))
+        order = np.sort(np.where(sketch != 0, (count << _U(22)) | key, ~_U(0)), axis=1)
+        size = np.count_nonzero(sketch, axis=1)
+        first = size - np.ceil(SHARED * size).astype(np.int64) + 1
+        row, at = np.nonzero(np.arange(SKETCH) < np.where(size > 0, first, 0)[:, None])
+        return row, (order[row, at] & _U(_PLACES)).astype(np.int32)
+
+    def place(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The entries of (node, lo, hi, root, sketch)."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, key = self.entries(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, SKETCH))
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(i).take(rows) for i in range(4))], ["key", "node", "lo", "hi", "root"])
+
+
+def close_pairs(threshold: int):
+    """Pairs (a, b, ra, rb) within the threshold and of different roots that have a key in common, of entries sorted by key. All pairs of a posting are
+    compared, however long it is."""
+
+    def found(key: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(start, len(key)))
+        after = np.repeat(start + size, size) - np.arange(len(key)) - 1
+        i, k = np.flatnonzero((after > 0) & (np.repeat(size, size) <= LONG)), 1
+        while len(i):
+            some = i[root[i] != root[i + k]]
+            some = some[distance(fp[some], fp[some + k]) <= threshold]
+            yield some, some + k
+            k += 1
+            i = i[after[i] >= k]
+        for a, n in zip(start[size > LONG].tolist(), size[size > LONG].tolist()):
+            for x in range(a, a + n, ROWS):
+                y = min(x + ROWS, a + n)
+                for z in range(x, a + n, 16384):
+                    end = min(z + 16384, a + n)
+                    near = np.bitwise_count(fp[x:y, None, 0] ^ fp[None, z:end, 0]) + np.bitwise_count(fp[x:y, None, 1] ^ fp[None, z:end, 1]) <= threshold
+                    i, j = np.nonzero(near & (root[x:y, None] != root[None, z:end]))
+                    later = i + x < j + z
+                    yield i[later] + x, j[later] + z
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
+        held, last = 0, None
+
+        def flush(whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal waiting, held
+            key, node, lo, hi, root = (np.concatenate(x) for x in zip(*waiting))
+            end = len(key) if whole else int(np.searchsorted(key, key[-1]))  # the last posting may go on
+            waiting = [[x[end:] for x in (key, node, lo, hi, root)]]
+            held = len(key) - end
+            fp = np.stack([lo[:end], hi[:end]], axis=1).view(_U)
+            if end:
+                for i, j in found(key[:end], fp, root[:end]):
+                    if len(i):
+                        turn = node[i] > node[j]
+                        i, j = np.where(turn, j, i), np.where(turn, i, j)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], root[i], root[j])], ["a", "b", "ra", "rb"])
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                held += batch.num_rows
+                if held >= 65536 and waiting[-1][0][-1] != last:
+                    last = waiting[-1][0][-1]
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    return pairs
+
+
+def alike_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ra, rb) of those (ra, rb, sketch, sketch) whose sketches are alike."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SKETCH) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(alike(x, y)))
+
+
+def left_out(vertex: DataFrame, order: Postings, threshold: int, ws: Workspace) -> DataFrame:
+    """(a, b): pairs of roots of ``vertex`` (node, lo, hi, sketch, root) that have linked members, complete."""
+    entries = vertex.select("node", "lo", "hi", "root", "sketch").mapInArrow(order.place, "key int, node long, lo long, hi long, root long")
+    width = max(1, min(4096, vertex.count() // 4_000))
+    near = entries.repartition(width, "key").sortWithinPartitions("key").mapInArrow(close_pairs(threshold), "a long, b long, ra long, rb long").distinct()
+    near = ws.table(near, "close-pairs")
+    one, two = (vertex.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    return near.join(one, "a").join(two, "b").select("ra", "rb", "sa", "sb").mapInArrow(alike_pairs, "a long, b long").distinct()
+
+
 def group_rows(table: DataFrame, threshold: int, ws: Workspace) -> DataFrame:
     """The rows of ``table`` (doc_id, lo, hi, sketch, row, ...) that share their group, with group_id, group_size, kept and distance.
 
-    Rows are one vertex where fingerprint and sketch are equal. A group is a component of the edges that cells report; the row of the least
+    Rows are one vertex where fingerprint and sketch are equal. A group is a component of all links. The cells of the pivots find most of them; then all pairs
+    of vertices that share a posting and aren't in one component yet are compared, which no link escapes. The row of the least
     (doc_id, lo, hi, row) is kept, nulls last. ``distance`` is to the kept fingerprint."""
     spark = table.sparkSession
     key = ["lo", "hi", "sketch"]
@@ -245,6 +364,12 @@ def group_rows(table: DataFrame, threshold: int, ws: Workspace) -> DataFrame:
     else:
         roots = spark.createDataFrame([], "node long, root long")
     vertex = ws.table(distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "vertices")
+    if points:
+        order = Postings(np.array([np.frombuffer(r.sketch, np.uint16) for r in points]))
+        more = ws.table(left_out(vertex, order, threshold, ws), "left-out")
+        if not more.isEmpty():
+            joined = components(more, ws).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+            vertex = ws.table(vertex.join(joined, "root", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole"), "whole-vertices")
     best = F.min(F.struct("f.void", "f.doc_id", "lo", "hi", "f.row")).alias("best")
     groups = ws.table(vertex.groupBy("root").agg(F.sum("n").alias("group_size"), best, F.count("*").alias("vertices")).where("group_size > 1"), "groups")
     found = skew_join(vertex.select(*key, "n", "root"), groups.drop("vertices"), ["root"], ws, counts=groups.select("root", F.col("vertices").alias("n")))

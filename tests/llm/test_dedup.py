@@ -275,6 +275,29 @@ def test_near_edges(spark):
     assert simhash.keep_one(clash, "doc_id", "text").count() == 4
 
 
+def test_near_stage_of_the_pipeline_keeps_one_of_a_chain(spark):
+    """Texts edited step by step, each near the one before and few others; one of each chain stays, by all pairs."""
+    import corpus_pipeline
+
+    rng, rows = random.Random(12), []
+    for k in range(40):
+        w = words(100, 900 + k).split()
+        for c in range(8):
+            rows.append((10 * k + c, " ".join(w)))
+            for _ in range(7):
+                w[rng.randrange(len(w))] = words(1, rng.random())
+    texts = pa.array([t for _, t in rows])
+    fp, sketch, _ = simhash._hashed(texts)
+    i, j = np.triu_indices(len(rows), 1)
+    ok = (simhash.distance(fp[i], fp[j]) <= simhash.THRESHOLD) & simhash.alike(sketch[i], sketch[j])
+    want = components(len(rows), list(zip(i[ok].tolist(), j[ok].tolist())))
+    least = {}
+    for (doc, _), root in zip(rows, want):
+        least[root] = min(least.get(root, doc), doc)
+    kept = corpus_pipeline.near_stage(spark, frame(spark, rows), SF)
+    assert len(least) < 200 and {r.doc_id for r in kept.collect()} == set(least.values())
+
+
 # passages
 
 

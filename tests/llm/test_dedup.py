@@ -378,6 +378,21 @@ def test_index_goes_on_in_another_session(spark, corpus):
         substrings.Index(other, path, "string")
 
 
+def test_the_query_leaves_a_merged_index_of_all_batches(spark):
+    import glob
+
+    from textloom.llm import queries, workspace
+
+    at = f"{workspace.shared_root(spark)}/passages-index-*".removeprefix("file://")
+    before = set(glob.glob(at))
+    assert queries.op2_substring_dedup(spark, SF).count()
+    (path,) = set(glob.glob(at)) - before
+    index = substrings.Index(spark, f"file://{path}")
+    assert index.batches == substrings.BATCHES and [len(x) for x in index.levels] == [0, 1]
+    assert index.runs()[0].select("batch").distinct().count() >= substrings.BATCHES
+    index.close()
+
+
 def test_selected_windows_meet():
     rng = random.Random(8)
     for _ in range(30):

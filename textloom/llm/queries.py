@@ -20,8 +20,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of words of every document that lie in passages of 50 words which an earlier one has."""
-    return substrings.repeated_passages(documents(spark, sf_dir), "doc_id", "text")
+    """Runs of words of every document that lie in passages of 50 words which an earlier one has. The index of all batches stays in a new
+    folder passages-index-* of the shared one, for later batches."""
+    return substrings.repeated_passages(documents(spark, sf_dir), "doc_id", "text", path=Workspace(spark, "passages-index").path)
 
 
 def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

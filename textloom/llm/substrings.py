@@ -209,8 +209,8 @@ def _near(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.where(bloom.column(key)).join(wanted, "doc_id")
 
 
-def spans_of_batch(index: Index, occ: DataFrame, corpus: DataFrame, ws: Workspace, keep: bool = True) -> DataFrame:
-    """Spans (doc_id, start, words, first_doc_id, first_start) of 50 words or more that a document of the batch shares with an earlier one; with ``keep`` the batch
+def spans_of_batch(index: Index, occ: DataFrame, corpus: DataFrame, ws: Workspace) -> DataFrame:
+    """Spans (doc_id, start, words, first_doc_id, first_start) of 50 words or more that a document of the batch shares with an earlier one; the batch
     then belongs to the index. ``occ`` (doc_id, h, pos) are the batch's selected windows, ``corpus`` (doc_id, text) has its documents and all earlier ones.
 
     Windows that follow each other in the first place of their hash too are a span without more ado. What sticks out at its ends, or has
@@ -241,8 +241,7 @@ def spans_of_batch(index: Index, occ: DataFrame, corpus: DataFrame, ws: Workspac
     fresh_ = met.where("seen is null").select("h", F.lit(number).alias("batch"), "f.doc_id", "f.pos", F.when(F.col("several"), SEVERAL).otherwise(ONE).alias("state"))
     raised = met.where(F.col("several") & F.col("seen").isNotNull() & (F.col("state") == ONE)).select("h", "seen.batch", "seen.doc_id", "seen.pos", F.lit(SEVERAL).alias("state"))
     rows = whole.where("seen is null").select("h", F.when(F.col("f.new"), number).otherwise(-1).alias("batch"), "f.doc_id", "f.pos", F.lit(WHOLE).alias("state"))
-    if keep:
-        index.add(fresh_.unionByName(raised).unionByName(rows))
+    index.add(fresh_.unionByName(raised).unionByName(rows))
     ws.drop(met, hits, looked, whole)
     return spans
 
@@ -300,7 +299,7 @@ def repeated_passages(df: DataFrame, ident: str, text: str, batches: int = BATCH
 
     Documents come in ``batches`` by hash of id, as they would over time; earlier means an earlier batch, then a lower id. With ``path`` the
     index in that folder is used and goes on, and ``history`` (the columns of ``df``) gives the texts that are in it already; all of it is earlier. Without,
-    the last batch isn't added and the index is deleted at the end. Repeats within one document aren't reported. Rows of one id are versions of one document: none is
+    the index is deleted at the end. Repeats within one document aren't reported. Rows of one id are versions of one document: none is
     a repeat of another, and a run of any of them is one of the document; ids mustn't come again in a later call. Null texts and null ids take no part; texts of under 50 words never
     have a run. Ids may be of any type; other columns take no part. Passages are found by hashes and verified by SHA-256 of their words."""
     spark = df.sparkSession
@@ -317,7 +316,7 @@ def repeated_passages(df: DataFrame, ident: str, text: str, batches: int = BATCH
     spans = None
     for b in range(batches):
         rows = spark.read.schema(f"doc_id {kind}, h long, pos int, batch int").parquet(at).where(F.col("batch") == b).drop("batch")
-        part = spans_of_batch(index, rows, corpus, ws, path is not None or b + 1 < batches)
+        part = spans_of_batch(index, rows, corpus, ws)
         spans = part if spans is None else spans.unionByName(part)
     out = ws.table(union_of(verified(corpus, spans, kind, ws)), "result")
     index.close()

@@ -474,6 +474,22 @@ def test_training_rows_are_bounded(spark):
     assert toxicity.classify(df, labels, "key", "body", "tongue").count() == len(rows)
 
 
+def test_all_labelled_documents_are_used(spark, monkeypatch):
+    """10,200 labelled documents in several tasks, each trained on or held out; a word that few of them have is learnt."""
+    rows = [(i, f"rare{i % 100}x plain words here" if i % 2 else "plain words here only", "en") for i in range(10_200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10_200)], "doc_id long, toxic int")
+    seen = {}
+    trained, thresholds = toxicity.train, toxicity.best_threshold
+    monkeypatch.setattr(toxicity, "EPOCHS", 3)
+    monkeypatch.setattr(toxicity, "train", lambda table, n, *rest: seen.update(trained=(n, table.count())) or trained(table, n, *rest))
+    monkeypatch.setattr(toxicity, "best_threshold", lambda p, y, *rest: seen.update(held=len(p)) or thresholds(p, y, *rest))
+    scorer = toxicity.fit(df, labels, "doc_id", "text", "lang")
+    assert seen["trained"][0] == seen["trained"][1] and seen["trained"][0] + seen["held"] == 10_200
+    p = scorer.score(pa.array([r[1] for r in rows[:200]]))
+    assert np.mean((p >= scorer.default) == [r[0] % 2 == 1 for r in rows[:200]]) > 0.98
+
+
 def test_toxicity_on_held_out_texts(spark):
     bad = ["vilword", "nastyterm", "uglyname", "rudething"]
 

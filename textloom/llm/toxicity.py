@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import Bloom
 from .kernel import ALNUM, Words, blocks, buffers, mix64
 from .workspace import Workspace, q, small_batches
 
@@ -112,34 +113,66 @@ def gradients(net: Net, bias: np.ndarray, r: np.ndarray, bounds: np.ndarray, y:
     return grads
 
 
-def train(texts: list[tuple[np.ndarray, int]], epochs: int = 12, batch: int = 64, rate: float = 0.01, drop: float = 0.3, seed: int = 7) -> Net:
-    """Adam on the logistic loss; toxic documents weigh as much as the others together. In each batch every bucket is
-    blanked with probability ``drop``, so that no word can hide behind others that come with it."""
-    seen = np.concatenate([np.unique(t) for t, _ in texts]) if texts else np.zeros(0, np.int32)
-    used, n = np.unique(seen, return_counts=True)
-    net = Net(used[n >= MIN_DOCUMENTS].astype(np.int32), seed)
-    y = np.array([v for _, v in texts], np.float32)
-    positive = max(1.0, float(y.sum()))
-    weight = np.where(y > 0, len(y) / (2 * positive), len(y) / (2 * max(1.0, len(y) - positive))).astype(np.float32)
-    rows = [net.rows(t) for t, _ in texts]
-    rng = np.random.default_rng(seed)
+#: Passes over the training documents; tasks at most that go over their share of them at once, and documents for which there is one more; documents of a
+#: step; share of buckets blanked.
+EPOCHS, TASKS, SHARE, BATCH, DROP = 12, 16, 6_000, 64, 0.3
+
+
+def steps(net: Net, state: list, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pace: float, rng: np.random.Generator) -> None:
+    """Adam on the logistic loss over texts in a random order; ``state`` (parameters, two moments, number of steps) goes on. In each step every
+    bucket is blanked with probability ``DROP``, so that no word can hide behind others that come with it."""
+    params, m, v = state[:3]
+    rows, order = [net.rows(t) for t in texts], rng.permutation(len(texts))
+    for at in range(0, len(order), BATCH):
+        part = order[at : at + BATCH]
+        r, bounds = _padded(np.concatenate([rows[i] for i in part]), np.concatenate([[0], np.cumsum([len(rows[i]) for i in part])]))
+        shown = rng.random(len(net.used) + 1) >= DROP
+        r = r * shown[r]
+        grads = gradients(net, params[-1], r, bounds, y[part], weight[part])
+        state[3] += 1
+        for q_, gr, a, b in zip(params, grads, m, v):
+            a += 0.1 * (gr - a)
+            b += 0.001 * (gr * gr - b)
+            q_ -= pace * (a / (1 - 0.9 ** state[3])) / (np.sqrt(b / (1 - 0.999 ** state[3])) + 1e-8)
+        net.emb[0] = 0
+
+
+def train(table: DataFrame, n: int, positive: int, seed: int = 7, rate: float = 0.01) -> Net:
+    """The net of all ``n`` documents of a stored table (y, words). In each of ``EPOCHS`` passes every task goes on from the common parameters and
+    moments over its share of the documents, and the driver takes their mean by documents. Toxic documents weigh as much as the
+    others together. Of the documents a task holds one batch at a time, the driver none. Up to
+    ``SHARE`` documents are one task's; the shares of more, and so the last digits of the scores, depend on how the session splits files."""
+    counts = table.select("words").mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCUMENTS)
+    net = Net(np.sort(counts.select("bucket").toArrow().column(0).to_numpy()).astype(np.int32), seed)
     params = [*net.params(), np.full(1, net.out_bias, np.float32)]
-    m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(rows))
-        pace = rate * (1 - epoch / epochs) + rate * 0.05
-        for at in range(0, len(order), batch):
-            part = order[at : at + batch]
-            r, bounds = _padded(np.concatenate([rows[i] for i in part]), np.concatenate([[0], np.cumsum([len(rows[i]) for i in part])]))
-            shown = rng.random(len(net.used) + 1) >= drop
-            r = r * shown[r]
-            grads = gradients(net, params[-1], r, bounds, y[part], weight[part])
-            step += 1
-            for q_, gr, a, b in zip(params, grads, m, v):
-                a += 0.1 * (gr - a)
-                b += 0.001 * (gr * gr - b)
-                q_ -= pace * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-            net.emb[0] = 0
+    state = [params, [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0]
+    weights = (n / (2 * max(1, n - positive)), n / (2 * max(1, positive)))
+    for epoch in range(EPOCHS):
+        pace = rate * (1 - epoch / EPOCHS) + rate * 0.05
+
+        def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done, rng = 0, np.random.default_rng([seed, epoch])
+            for batch in batches:
+                if batch.num_rows:
+                    y = batch.column(0).to_numpy().astype(np.float32)
+                    texts = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in batch.column(1).to_pylist()]
+                    steps(net, state, texts, y, np.where(y > 0, weights[1], weights[0]).astype(np.float32), pace, rng)
+                    done += len(y)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([done]), pa.array([state[3]]), pa.array([np.concatenate([x.ravel() for part in state[:3] for x in part]).tobytes()])], ["n", "step", "state"])
+
+        found = table.select("y", "words").coalesce(min(TASKS, n // SHARE + 1)).mapInArrow(share, "n long, step long, state binary").collect()
+        total = sum(r.n for r in found)
+        if not total:
+            break
+        # in a fixed order, as sums of floats depend on it
+        mean = sum(np.frombuffer(r.state, np.float32) * np.float32(r.n / total) for r in sorted(found, key=lambda r: (r.n, r.state)))
+        at = 0
+        for part in state[:3]:
+            for x in part:
+                x[...] = mean[at : at + x.size].reshape(x.shape)
+                at += x.size
+        state[3] = max(r.step for r in found)
     net.out_bias = np.float32(params[-1][0])
     return net
 
@@ -210,7 +243,7 @@ def language_thresholds(p: np.ndarray, y: np.ndarray, langs: np.ndarray) -> dict
 
 
 def labelled(df: DataFrame, labels: DataFrame, ident: str, text: str, lang: str, max_labelled: int, max_bytes: int) -> list:
-    """Rows (label_id, lang, y, words) of the labelled documents that training uses, in order of id: the first ``max_labelled`` by hash of id, and
+    """Rows (label_id, lang, y, words) of the labelled documents that training on a sample uses, in order of id: the first ``max_labelled`` by hash of id, and
     of these, in the same order, all that fit into ``max_bytes`` of text together; whole texts. What reaches the driver is bounded by both."""
     spark = df.sparkSession
     ws = Workspace(spark, "toxicity")
@@ -233,35 +266,74 @@ def labelled(df: DataFrame, labels: DataFrame, ident: str, text: str, lang: str,
     return sorted(rows, key=lambda r: r.label_id)
 
 
-def fit(df: DataFrame, labels: DataFrame, ident: str, text: str, lang: str, max_labelled: int = 9_000, max_bytes: int = 64 << 20) -> Scorer:
-    """Trains on two thirds of up to ``max_labelled`` labelled documents of ``max_bytes`` together (see ``labelled``) and calibrates a threshold for
-    each language on the other third (see ``language_thresholds``); an unknown or null language, or one that has not both kinds, gets that of
-    all together. Ids labelled both ways or null aren't used, and of several rows of a labelled id one is. Without toxic labels nothing is
-    toxic."""
-    rows = labelled(df, labels, ident, text, lang, max_labelled, max_bytes)
-    texts = [(np.frombuffer(r.words, np.int32).reshape(-1, 2), r.y) for r in rows]
-    held = [i % 3 == 2 for i in range(len(rows))]
-    net = train([t for t, h in zip(texts, held) if not h])
-    if not any(y for (_, y), h in zip(texts, held) if not h):
+def words_of_all(df: DataFrame, labels: DataFrame, ident: str, text: str, lang: str, ws: Workspace) -> DataFrame:
+    """Rows (label_id, lang, y, held, words) of all labelled documents, stored; of several rows of an id one. ``held`` is every third label in order of
+    id, counted in each range of ids from where the ranges before end. Texts without a label stay where they are."""
+    kind = df.schema[ident].dataType.simpleString()
+    clean = labels.select(F.col("doc_id").try_cast(kind).alias("label_id"), "toxic").where("label_id is not null and toxic is not null")
+    clean = ws.table(clean.groupBy("label_id").agg(F.min("toxic").cast("int").alias("y"), F.max("toxic").alias("hi")).where("y = hi").drop("hi").orderBy("label_id").withColumn("part", F.spark_partition_id()), "labels")
+    before, offsets = 0, []
+    for r in sorted(clean.groupBy("part").count().collect()):
+        offsets.append((r.part, before))
+        before += r["count"]
+    place = F.row_number().over(Window.partitionBy("part").orderBy("label_id")) - 1 + F.col("offset")
+    clean = clean.join(F.broadcast(df.sparkSession.createDataFrame(offsets, "part int, offset long")), "part").select("label_id", "y", (place % 3 == 2).alias("held"))
+    bloom = Bloom.of(clean.select(F.xxhash64("label_id").alias("k")), "k")
+    found = df.select(q(ident).alias("label_id"), q(lang).cast("string").alias("lang"), q(text).alias("text")).where("text is not null").where(bloom.column(F.xxhash64("label_id"))).join(clean, "label_id")
+    one = found.groupBy("label_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "lang", "y", "text", "held")).alias("r"))
+    words = one.select(F.struct("label_id", "r.held").alias("label_id"), "r.lang", "r.text", "r.y").mapInArrow(_bucketed, f"label_id struct<label_id:{kind},held:boolean>, lang string, y int, words binary")
+    return ws.table(words.select("label_id.label_id", "lang", "y", "label_id.held", "words"), "words")
+
+
+def fit(df: DataFrame, labels: DataFrame, ident: str, text: str, lang: str, max_labelled: int | None = None, max_bytes: int | None = None) -> Scorer:
+    """Trains on two thirds of all labelled documents and calibrates a threshold for each language on the other third, all of it (see
+    ``language_thresholds``); an unknown or null language, or one that has not both kinds, gets that of all together. With ``max_labelled`` or
+    ``max_bytes`` a bounded sample is used instead (see ``labelled``). Ids labelled both ways or null aren't used, and of several rows of a labelled id
+    one is. Without toxic labels nothing is toxic. Of the documents of the last third the driver gets score, label and language."""
+    ws = Workspace(df.sparkSession, "toxicity")
+    if max_labelled is None and max_bytes is None:
+        table = words_of_all(df, labels, ident, text, lang, ws)
+    else:
+        rows = labelled(df, labels, ident, text, lang, 9_000 if max_labelled is None else max_labelled, 64 << 20 if max_bytes is None else max_bytes)
+        kind = df.schema[ident].dataType.simpleString()
+        table = ws.table(df.sparkSession.createDataFrame([(r.label_id, r.lang, r.y, i % 3 == 2, r.words) for i, r in enumerate(rows)], f"label_id {kind}, lang string, y int, held boolean, words binary"), "words")
+    held = F.col("held")
+    n, positive = table.where(~held).agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    net = train(table.where(~held), n, positive)
+    if not positive:
         return Scorer(net, {}, 2.0)
-    test = [(r.lang, t, y) for r, (t, y), h in zip(rows, texts, held) if h]
-    p = np.zeros(len(test))
-    for at in range(0, len(test), 64):
-        part = [net.rows(t) for _, t, _ in test[at : at + 64]]
-        r, bounds = _padded(np.concatenate(part), np.concatenate([[0], np.cumsum([len(x) for x in part])]))
-        p[at : at + 64] = 1 / (1 + np.exp(-np.clip(forward(net, r, bounds)[0] @ net.out + net.out_bias, -30, 30)))
-    y = np.array([v for *_, v in test])
-    langs = np.array([x or "" for x, *_ in test])
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, p = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in batch.column(2).to_pylist()], []
+            for at in range(0, len(words), 64):
+                part = [net.rows(t) for t in words[at : at + 64]]
+                r, bounds = _padded(np.concatenate(part), np.concatenate([[0], np.cumsum([len(x) for x in part])]))
+                p.append(1 / (1 + np.exp(-np.clip(forward(net, r, bounds)[0] @ net.out + net.out_bias, -30, 30))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0), *p]))], ["lang", "y", "p"])
+
+    test = table.where(held).select("lang", "y", "words").mapInArrow(scores, "lang string, y int, p double").toPandas()
+    y, p = test["y"].to_numpy(np.int64), test["p"].to_numpy(np.float64)
+    langs = test["lang"].fillna("").to_numpy(str)
+    ws.drop(table)
     return Scorer(net, language_thresholds(p, y, langs), best_threshold(p, y) if len(y) else 0.5)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, documents) of the words of a batch."""
+    for batch in batches:
+        if batch.num_rows:
+            bucket, n = np.unique(np.concatenate([np.unique(np.frombuffer(x, np.int32)) for x in batch.column(0).to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(n)], ["bucket", "n"])
+
+
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [bucket[x:y].tobytes() for _, _, bucket, first in word_buckets(batch.column(2)) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(words, pa.binary())], ["label_id", "lang", "y", "words"])
 
 
-def classify(df: DataFrame, labels: DataFrame, ident: str, text: str, lang: str, max_labelled: int = 9_000) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, ident: str, text: str, lang: str, max_labelled: int | None = None) -> DataFrame:
     """(doc_id, lang, score, threshold, toxic) of every document, scored over its whole text in one scan without a
     shuffle. A null text has a null score and isn't toxic; an empty one is scored as two empty words. Every row gets its own answer,
     repeated ones and null ids too; ids may have any type; other columns take no part; an empty table gives no rows. A score at the

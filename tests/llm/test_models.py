@@ -5,8 +5,10 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -490,6 +492,38 @@ def test_all_labelled_documents_are_used(spark, monkeypatch):
     assert np.mean((p >= scorer.default) == [r[0] % 2 == 1 for r in rows[:200]]) > 0.98
 
 
+def test_training_keeps_parameters_once_on_the_driver(spark, monkeypatch):
+    """Eight tasks that change all of 40,000 buckets; the driver's Python never holds the parameters of all of them."""
+    rng = np.random.default_rng(6)
+    rows = [(i % 2, rng.integers(0, 40_000, 400).astype(np.int32).tobytes()) for i in range(1_600)]
+    table = spark.createDataFrame(rows, "y int, words binary").repartition(8).cache()
+    assert table.count() == 1_600
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    monkeypatch.setattr(toxicity, "SHARE", 220)
+    monkeypatch.setattr(toxicity, "CHUNK", 4_096, raising=False)
+    del rows
+    tracemalloc.start()
+    net = toxicity.train(table, 1_600, 800)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    table.unpersist()
+    assert len(net.used) > 39_000 and peak < 8 * net.emb.nbytes
+    assert np.abs(net.emb - toxicity.Net(net.used).emb).max(axis=1)[1:].astype(bool).mean() > 0.5 and not net.emb[0].any()
+
+
+def test_changes_are_averaged_over_the_tasks_that_made_them():
+    def part(chunk, n, rows, change, kind):
+        return (chunk, n, np.array(rows, np.int32).tobytes(), np.array(change, kind).tobytes())
+
+    width = toxicity.DIM
+    pdf = pd.DataFrame([part(0, 3, [1, 4], [[1.0] * width, [2.0] * width], np.float16), part(0, 1, [4, 9], [[-2.0] * width, [5.0] * width], np.float16)], columns=["chunk", "n", "rows", "change"])
+    out = toxicity.averaged(pdf.iloc[::-1]).iloc[0]
+    assert np.frombuffer(out["rows"], np.int32).tolist() == [1, 4, 9]
+    assert np.frombuffer(out["change"], np.float32).reshape(3, width)[:, 0].tolist() == [1.0, 1.0, 5.0]
+    pdf = pd.DataFrame([part(-1, 3, [0], [1.0, 2.0], np.float32), part(-1, 1, [0], [5.0, 2.0], np.float32)], columns=["chunk", "n", "rows", "change"])
+    assert np.frombuffer(toxicity.averaged(pdf).iloc[0]["change"], np.float32).tolist() == [2.0, 2.0]
+
+
 def test_toxicity_on_held_out_texts(spark):
     bad = ["vilword", "nastyterm", "uglyname", "rudething"]
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,23 +45,37 @@ class Net:
 
     def __init__(self, used: np.ndarray, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        self.used = used
-        self.emb = (rng.standard_normal((len(used) + 1, DIM)) * 0.3).astype(np.float32)
+        self.used, self.lookup = used, None
+        self.emb = rng.standard_normal((len(used) + 1, DIM), np.float32)
+        self.emb *= 0.3
         self.emb[0] = 0
         self.conv = [(rng.standard_normal((w, DIM, FILTERS)) * (1.0 / np.sqrt(w * DIM))).astype(np.float32) for w in WIDTHS]
         self.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.out = (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.3).astype(np.float32)
         self.out_bias = np.float32(-1.0)
 
+    @staticmethod
+    def of(used: np.ndarray, arrays: list[np.ndarray]) -> Net:
+        """The net of given ``params()``, which it may change, and the output's bias behind them."""
+        net = Net(used[:0])
+        k = len(WIDTHS)
+        net.used, net.emb, net.conv, net.bias, net.out = used, arrays[0], arrays[1 : k + 1], arrays[k + 1 : 2 * k + 1], arrays[2 * k + 1]
+        net.out_bias = np.float32(arrays[2 * k + 2][0])
+        return net
+
     def rows(self, bucket: np.ndarray) -> np.ndarray:
-        if not len(self.used):
-            return np.zeros(bucket.shape, np.int64)
-        at = np.minimum(np.searchsorted(self.used, bucket), len(self.used) - 1)
-        return np.where(self.used[at] == bucket, at + 1, 0)
+        if self.lookup is None:
+            self.lookup = np.zeros(1 << BUCKET_BITS, np.int32)
+            self.lookup[self.used] = np.arange(1, len(self.used) + 1)
+        return self.lookup[bucket]
 
     def params(self) -> list[np.ndarray]:
         return [self.emb, *self.conv, *self.bias, self.out]
 
+    def spread(self, context: SparkContext) -> Broadcast:
+        """The arguments of ``Net.of``. They go to executors once, by way of files, and not with each function's code."""
+        return context.broadcast((self.used, [*self.params(), np.full(1, self.out_bias, np.float32)]))
+
 
 def _padded(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows with two empty words after each text, and the new bounds."""
@@ -90,121 +106,168 @@ def forward(net: Net, rows: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(pooled, axis=1), acts, x
 
 
-def gradients(net: Net, bias: np.ndarray, r: np.ndarray, bounds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-    """Gradients of the mean weighted logistic loss of a batch, in the order of ``net.params()``, then that of the output's bias."""
+def sparse_gradients(net: Net, bias: np.ndarray, r: np.ndarray, bounds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Gradients of the mean weighted logistic loss of a batch: embedding rows, row 0 too, that may be there several times, what each adds, and the
+    gradients of the other parameters in the order of ``net.params()``, then that of the output's bias."""
     pooled, acts, x = forward(net, r, bounds)
     p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + bias[0], -30, 30)))
     g = ((p - y) * weight / len(y)).astype(net.out.dtype)
-    grads = [np.zeros_like(q_) for q_ in [*net.params(), bias]]
+    grads = [np.zeros_like(q_) for q_ in [*net.params()[1:], bias]]
     grads[-2] = pooled.T @ g
     grads[-1][0] = g.sum()
     back = (g[:, None] * net.out[None, :]) * (pooled > 0)
+    rows, flows = [], []
     for k, (w, h) in enumerate(zip(WIDTHS, acts)):
         gp = back[:, k * FILTERS : (k + 1) * FILTERS]
         best = np.stack([h[a:b].argmax(axis=0) + a for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
         for j in range(w):
             to, within = np.minimum(best + j, len(x) - 1), gp * (best + j < bounds[1:, None])
-            grads[1 + k][j] = np.einsum("dfe,df->ef", x[to], within)
+            grads[k][j] = np.einsum("dfe,df->ef", x[to], within)
             flow = (within[:, :, None] * net.conv[k][j].T[None]).reshape(-1, DIM)
             for side in range(2):
-                np.add.at(grads[0], r[to.ravel(), side], flow)
-        grads[1 + len(WIDTHS) + k] = gp.sum(axis=0)
-    grads[0][0] = 0
-    return grads
+                rows.append(r[to.ravel(), side])
+                flows.append(flow)
+        grads[len(WIDTHS) + k] = gp.sum(axis=0)
+    return np.concatenate(rows), np.concatenate(flows), grads
+
+
+def gradients(net: Net, bias: np.ndarray, r: np.ndarray, bounds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Those of ``sparse_gradients`` with the whole embedding's first, in the order of ``net.params()``."""
+    rows, flows, grads = sparse_gradients(net, bias, r, bounds, y, weight)
+    emb = np.zeros_like(net.emb)
+    np.add.at(emb, rows, flows)
+    emb[0] = 0
+    return [emb, *grads]
 
 
 #: Passes over the training documents; tasks at most that go over their share of them at once, and documents for which there is one more; documents of a
 #: step; share of buckets blanked.
 EPOCHS, TASKS, SHARE, BATCH, DROP = 12, 16, 6_000, 64, 0.3
-
-
-def steps(net: Net, state: list, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pace: float, rng: np.random.Generator) -> None:
-    """Adam on the logistic loss over texts in a random order; ``state`` (parameters, two moments, number of steps) goes on. In each step every
-    bucket is blanked with probability ``DROP``, so that no word can hide behind others that come with it."""
-    params, m, v = state[:3]
-    rows, order = [net.rows(t) for t in texts], rng.permutation(len(texts))
-    for at in range(0, len(order), BATCH):
-        part = order[at : at + BATCH]
-        r, bounds = _padded(np.concatenate([rows[i] for i in part]), np.concatenate([[0], np.cumsum([len(rows[i]) for i in part])]))
-        shown = rng.random(len(net.used) + 1) >= DROP
-        r = r * shown[r]
-        grads = gradients(net, params[-1], r, bounds, y[part], weight[part])
-        state[3] += 1
-        for q_, gr, a, b in zip(params, grads, m, v):
-            a += 0.1 * (gr - a)
-            b += 0.001 * (gr * gr - b)
-            q_ -= pace * (a / (1 - 0.9 ** state[3])) / (np.sqrt(b / (1 - 0.999 ** state[3])) + 1e-8)
-        net.emb[0] = 0
+#: Length of the embedding's steps by that of the others: a row that only some steps change has no momentum in the steps between.
+SPARSE = 3.0
+#: Embedding rows whose changes travel together from the tasks to where they are averaged.
+CHUNK = 1 << 16
+
+
+def adam(q_: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, t: int, pace: float) -> None:
+    m += 0.1 * (g - m)
+    v += 0.001 * (g * g - v)
+    q_ -= pace * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+
+
+class Trainer:
+    """One task's pass: Adam on the logistic loss from given parameters, with new moments. Of the embedding a step changes only the rows that have a
+    gradient, so its cost doesn't grow with the vocabulary, and only rows that were changed are sent on."""
+
+    def __init__(self, net: Net, pace: float, rng: np.random.Generator) -> None:
+        self.net, self.pace, self.rng, self.t = net, pace, rng, 0
+        self.small = [*net.params()[1:], np.full(1, net.out_bias, np.float32)]
+        self.moments = [[np.zeros_like(p) for p in self.small] for _ in range(2)]
+        self.m, self.v = np.zeros(net.emb.shape, np.float32), np.zeros(net.emb.shape, np.float32)
+        self.changed = np.zeros(len(net.emb), bool)
+
+    def steps(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:
+        """A step for each batch of texts in a random order. In each step every bucket is blanked with probability ``DROP``, so that no word can
+        hide behind others that come with it."""
+        net, order = self.net, self.rng.permutation(len(texts))
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
+            rows = [net.rows(texts[i]) for i in part]
+            r, bounds = _padded(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])]))
+            r = r * (mix64(r.astype(_U) ^ self.rng.integers(0, 1 << 63, dtype=_U)) >= _U(int(DROP * (1 << 64))))
+            at_, flows, grads = sparse_gradients(net, self.small[-1], r, bounds, y[part], weight[part])
+            self.t += 1
+            for q_, g, m, v in zip(self.small, grads, *self.moments):
+                adam(q_, g, m, v, self.t, self.pace)
+            by = np.argsort(at_, kind="stable")
+            row, first = np.unique(at_[by], return_index=True)
+            g = np.add.reduceat(flows[by], first, axis=0)
+            some = (row > 0) & g.any(axis=1)
+            row, g = row[some], g[some]
+            e, m, v = net.emb[row], self.m[row], self.v[row]
+            adam(e, g, m, v, self.t, SPARSE * self.pace)
+            net.emb[row], self.m[row], self.v[row] = e, m, v
+            self.changed[row] = True
+
+    def changes(self, before: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(chunk, rows, differences) of the embedding, in half precision, and with chunk -1 of the other parameters in single."""
+        yield -1, np.zeros(1, np.int32), np.concatenate([(q_ - p).ravel() for q_, p in zip(self.small, before[1:])])
+        row = np.flatnonzero(self.changed).astype(np.int32)
+        bounds = np.searchsorted(row, np.arange(0, len(self.changed) + CHUNK, CHUNK))
+        for chunk, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            if b > a:
+                yield chunk, row[a:b], (self.net.emb[row[a:b]] - before[0][row[a:b]]).astype(np.float16)
+
+
+def averaged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row of the rows (chunk, n, rows, change) of a chunk: each embedding row's mean change, by documents, over the tasks that changed it."""
+    chunk = int(pdf["chunk"].iat[0])
+    kind = np.float32 if chunk < 0 else np.float16
+    # in a fixed order, as sums of floats depend on it
+    parts = [(n, np.frombuffer(r, np.int32), np.frombuffer(c, kind)) for n, r, c in sorted(pdf[["n", "rows", "change"]].itertuples(index=False, name=None))]
+    rows = np.unique(np.concatenate([r for _, r, _ in parts]))
+    total, weight = np.zeros((len(rows), len(parts[0][2]) // len(parts[0][1]))), np.zeros((len(rows), 1))
+    for n, r, c in parts:
+        at = np.searchsorted(rows, r)
+        total[at] += float(n) * c.reshape(len(r), -1).astype(np.float64)
+        weight[at] += n
+    return pd.DataFrame({"chunk": [chunk], "rows": [rows.tobytes()], "change": [(total / weight).astype(np.float32).tobytes()]})
 
 
 def train(table: DataFrame, n: int, positive: int, seed: int = 7, rate: float = 0.01) -> Net:
-    """The net of all ``n`` documents of a stored table (y, words). In each of ``EPOCHS`` passes every task goes on from the common parameters and
-    moments over its share of the documents, and the driver takes their mean by documents. Toxic documents weigh as much as the
-    others together. Of the documents a task holds one batch at a time, the driver none. Up to
-    ``SHARE`` documents are one task's; the shares of more, and so the last digits of the scores, depend on how the session splits files."""
+    """The net of all ``n`` documents of a stored table (y, words). In each of ``EPOCHS`` passes every task goes on from the common parameters over
+    its share of the documents; the tasks' changes are averaged where they lie, and the driver adds the means, a chunk's after another. Toxic documents
+    weigh as much as the others together. The driver holds the parameters once, whatever the number of tasks, and no document; a task one batch of
+    documents, the parameters and their moments. Up to ``SHARE`` documents are one task's; the shares of more, and so the last digits of the
+    scores, depend on how the session splits files."""
+    context = table.sparkSession.sparkContext
     counts = table.select("words").mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCUMENTS)
     net = Net(np.sort(counts.select("bucket").toArrow().column(0).to_numpy()).astype(np.int32), seed)
     params = [*net.params(), np.full(1, net.out_bias, np.float32)]
-    state = [params, [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0]
     weights = (n / (2 * max(1, n - positive)), n / (2 * max(1, positive)))
+    buckets = context.broadcast(net.used)
     for epoch in range(EPOCHS):
         pace = rate * (1 - epoch / EPOCHS) + rate * 0.05
+        common = context.broadcast(params)
 
-        def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            done, rng = 0, np.random.default_rng([seed, epoch])
+        def share(batches: Iterator[pa.RecordBatch], epoch: int = epoch, pace: float = pace, common: Broadcast = common) -> Iterator[pa.RecordBatch]:
+            done, trainer = 0, None
             for batch in batches:
                 if batch.num_rows:
+                    trainer = trainer or Trainer(Net.of(buckets.value, [p.copy() for p in common.value]), pace, np.random.default_rng([seed, epoch]))
                     y = batch.column(0).to_numpy().astype(np.float32)
                     texts = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in batch.column(1).to_pylist()]
-                    steps(net, state, texts, y, np.where(y > 0, weights[1], weights[0]).astype(np.float32), pace, rng)
+                    trainer.steps(texts, y, np.where(y > 0, weights[1], weights[0]).astype(np.float32))
                     done += len(y)
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array([done]), pa.array([state[3]]), pa.array([np.concatenate([x.ravel() for part in state[:3] for x in part]).tobytes()])], ["n", "step", "state"])
-
-        found = table.select("y", "words").coalesce(min(TASKS, n // SHARE + 1)).mapInArrow(share, "n long, step long, state binary").collect()
-        total = sum(r.n for r in found)
-        if not total:
-            break
-        # in a fixed order, as sums of floats depend on it
-        mean = sum(np.frombuffer(r.state, np.float32) * np.float32(r.n / total) for r in sorted(found, key=lambda r: (r.n, r.state)))
-        at = 0
-        for part in state[:3]:
-            for x in part:
-                x[...] = mean[at : at + x.size].reshape(x.shape)
+            for chunk, rows, change in trainer.changes(common.value) if trainer else ():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([done]), pa.array([rows.tobytes()]), pa.array([change.tobytes()])], ["chunk", "n", "rows", "change"])
+
+        changes = table.select("y", "words").coalesce(min(TASKS, n // SHARE + 1)).mapInArrow(share, "chunk int, n long, rows binary, change binary")
+        for r in changes.groupBy("chunk").applyInPandas(averaged, "chunk int, rows binary, change binary").toLocalIterator():
+            change = np.frombuffer(r.change, np.float32)
+            if r.chunk >= 0:
+                params[0][np.frombuffer(r.rows, np.int32)] += change.reshape(-1, DIM)
+                continue
+            at = 0
+            for x in params[1:]:
+                x += change[at : at + x.size].reshape(x.shape)
                 at += x.size
-        state[3] = max(r.step for r in found)
+        common.destroy()
+    buckets.destroy()
     net.out_bias = np.float32(params[-1][0])
     return net
 
 
 class Scorer:
-    """The trained net folded for scanning: each filter's word products as one table row a bucket."""
+    """The trained net for scanning, with its thresholds."""
 
     def __init__(self, net: Net, thresholds: dict[str, float], default: float) -> None:
-        self.used, self.thresholds, self.default = net.used, thresholds, default
-        self.tables = [[np.ascontiguousarray(net.emb @ conv[j]) for j in range(conv.shape[0])] for conv in net.conv]
-        self.bias, self.out, self.out_bias = net.bias, net.out, net.out_bias
-        self.lookup: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"lookup": None}
+        self.net, self.thresholds, self.default = net, thresholds, default
 
     def score(self, column: pa.Array) -> np.ndarray:
-        if self.lookup is None:
-            self.lookup = np.zeros(1 << BUCKET_BITS, np.int32)
-            self.lookup[self.used] = np.arange(1, len(self.used) + 1)
-        out = np.zeros(len(column), np.float64)
+        net, out = self.net, np.zeros(len(column), np.float64)
         for a, b, bucket, first in word_buckets(column):
-            r, bounds = _padded(self.lookup[bucket], first)
-            pooled = []
-            for tables, bias in zip(self.tables, self.bias):
-                h = tables[0][r[:, 0]] + tables[0][r[:, 1]]
-                for j in range(1, len(tables)):
-                    part = tables[j][r[j:, 0]] + tables[j][r[j:, 1]]
-                    part[_beyond(bounds, j)] = 0
-                    h[:-j] += part
-                pooled.append(np.maximum(np.maximum.reduceat(h, bounds[:-1], axis=0) + bias, 0))
-            out[a:b] = np.concatenate(pooled, axis=1) @ self.out + self.out_bias
+            out[a:b] = forward(net, *_padded(net.rows(bucket), first))[0] @ net.out + net.out_bias
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
     def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +366,10 @@ def fit(df: DataFrame, labels: DataFrame, ident: str, text: str, lang: str, max_
     if not positive:
         return Scorer(net, {}, 2.0)
 
+    arrays = net.spread(df.sparkSession.sparkContext)
+
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Net.of(*arrays.value)
         for batch in batches:
             words, p = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in batch.column(2).to_pylist()], []
             for at in range(0, len(words), 64):
@@ -312,9 +378,11 @@ def fit(df: DataFrame, labels: DataFrame, ident: str, text: str, lang: str, max_
                 p.append(1 / (1 + np.exp(-np.clip(forward(net, r, bounds)[0] @ net.out + net.out_bias, -30, 30))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0), *p]))], ["lang", "y", "p"])
 
-    test = table.where(held).select("lang", "y", "words").mapInArrow(scores, "lang string, y int, p double").toPandas()
-    y, p = test["y"].to_numpy(np.int64), test["p"].to_numpy(np.float64)
-    langs = test["lang"].fillna("").to_numpy(str)
+    test = table.where(held).select("lang", "y", "words").mapInArrow(scores, "lang string, y int, p double").toArrow()
+    arrays.destroy()
+    y, p = test.column(1).to_numpy().astype(np.int64), test.column(2).to_numpy()
+    names = test.column(0).fill_null("").combine_chunks().dictionary_encode()
+    langs = np.array([*names.dictionary.to_pylist(), ""], str)[names.indices.to_numpy()]
     ws.drop(table)
     return Scorer(net, language_thresholds(p, y, langs), best_threshold(p, y) if len(y) else 0.5)
 
@@ -341,4 +409,9 @@ def classify(df: DataFrame, labels: DataFrame, ident: str, text: str, lang: str,
     small_batches(df.sparkSession)
     scorer = fit(df, labels, ident, text, lang, max_labelled)
     kind = df.schema[ident].dataType.simpleString()
-    return df.select(q(ident).alias("doc_id"), q(lang).cast("string").alias("lang"), q(text).alias("t")).mapInArrow(scorer.rows, f"doc_id {kind}, lang string, score double, threshold double, toxic boolean")
+    arrays, thresholds, default = scorer.net.spread(df.sparkSession.sparkContext), scorer.thresholds, scorer.default
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return Scorer(Net.of(*arrays.value), thresholds, default).rows(batches)
+
+    return df.select(q(ident).alias("doc_id"), q(lang).cast("string").alias("lang"), q(text).alias("t")).mapInArrow(rows, f"doc_id {kind}, lang string, score double, threshold double, toxic boolean")

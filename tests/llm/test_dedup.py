@@ -393,6 +393,44 @@ def test_the_query_leaves_a_merged_index_of_all_batches(spark):
     index.close()
 
 
+_WORKER = """
+import random
+import re
+import pyarrow as pa
+from textloom.llm import substrings
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+rng = random.Random(9)
+words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(5000)]
+texts = pa.array([" ".join(rng.choices(words, k=300)) for _ in range(2000)])
+ids, few = pa.array(range(2000)), pa.array([[0]] * 2000, pa.list_(pa.int32()))
+covers, wanted = (pa.array([x] * 2000, pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))) for x in (None, [{"start": 0, "words": 60}]))
+for f, columns in ((substrings.occurrences, [ids, ids, texts]), (substrings.passages, [ids, texts, few, covers, few.cast(pa.list_(pa.int64()))]), (substrings.digests, [ids, texts, wanted])):
+    batch = pa.RecordBatch.from_arrays(columns, [str(i) for i in range(len(columns))])
+    list(f(iter([batch.slice(0, 2)])))
+    before, most, rows = held(), 0, 0
+    for x in f(iter([batch] * 3)):
+        most, rows = max(most, held()), rows + len(x)
+    assert rows >= 6000
+    print(f.__name__, most - before, held() - before)
+"""
+
+
+def test_workers_take_little_memory_and_give_it_back(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    (at := tmp_path / "worker.py").write_text(_WORKER)
+    root = str(Path(substrings.__file__).parents[2])
+    out = subprocess.run([sys.executable, str(at)], env={"PYTHONPATH": root, "PATH": "/usr/bin:/bin", "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=120)
+    assert not out.returncode, out.stderr
+    for name, most, after in map(str.split, out.stdout.splitlines()):
+        assert float(most) < 32 and float(after) < 12, (name, most, after)
+
+
 def test_selected_windows_meet():
     rng = random.Random(8)
     for _ in range(30):

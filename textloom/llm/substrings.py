@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bloom import Bloom
-from .kernel import SPACE, Words, blocks, buffers, mix64, signed, sliding_min, windows
+from .kernel import SPACE, Words, blocks, buffers, mix64, releasing, signed, sliding_min, windows
 from .workspace import Workspace, q, remove, skew_join
 
 #: Words of a passage; words of a selected window, and how many neighbouring windows one is selected among: 32 + 19 - 1 = 50.
 PASSAGE, WORDS, REACH = 50, 32, 19
 FANOUT, BATCHES = 3, 3
+#: Bytes of text that a worker cuts into words at once; its arrays take many times as much.
+BLOCK = 1 << 18
 #: States of an index row: a window of one document, a window of several, a whole passage.
 ONE, SEVERAL, WHOLE = 0, 1, 2
 _U = np.uint64
@@ -55,11 +57,12 @@ def selected_windows(hashes: np.ndarray, first: np.ndarray, k: int = WORDS, w: i
     return at, h[at]
 
 
+@releasing
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, batch, h, pos) of the selected windows of (doc_id, batch, text)."""
     for batch in batches:
         data, offsets, _ = buffers(batch.column(2))
-        for a, _, d, o in blocks(data, offsets):
+        for a, _, d, o in blocks(data, offsets, BLOCK):
             w = Words(d, o, SPACE)
             at, h = selected_windows(w.hash, w.first)
             doc = w.doc[at]
@@ -67,13 +70,14 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(signed(h)), pa.array((at - w.first[doc]).astype(np.int32))], ["doc_id", "batch", "h", "pos"])
 
 
+@releasing
 def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, h, pos, old) of the windows of 50 words of (doc_id, text, places, covers, hashes) that hold a selected window at one of ``places``
     or with one of ``hashes`` (these are old ones) and don't lie within one of ``covers`` (start, words)."""
     for batch in batches:
         data, offsets, _ = buffers(batch.column(1))
         places, covers, hashes = (batch.column(i).to_pylist() for i in (2, 3, 4))
-        for a, b, d, o in blocks(data, offsets):
+        for a, b, d, o in blocks(data, offsets, BLOCK):
             w = Words(d, o, SPACE)
             selected = selected_windows(w.hash, w.first) if any(hashes[a:b]) else None
             for i in range(b - a):
@@ -246,6 +250,7 @@ def spans_of_batch(index: Index, occ: DataFrame, corpus: DataFrame, ws: Workspac
     return spans
 
 
+@releasing
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, start, words, digest) of the wanted spans of (doc_id, text, wanted): SHA-256 of the words themselves, one blank between."""
     for batch in batches:

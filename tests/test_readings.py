@@ -1,5 +1,8 @@
 """Cases that tell apart readings of a rule which ordinary inputs don't."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -88,6 +91,41 @@ def test_fuzzy_replacement_keeps_the_rest(spark):
     assert edits.replace_text(files, "", "x").count() == 0
 
 
+def test_fuzzy_replacement_is_that_of_the_flat_text_and_needs_no_python(spark):
+    kinds = ["a", "$", "\\", "\n", " ", "\u00a0", "\t", "\u1680", "\u2028", "'", "\u2019", "\u2013", "-", "\U0001f600"]
+    draw = random.Random(5)
+    texts = {str(i): "".join(draw.choices(kinds, k=draw.randrange(40))) for i in range(400)}
+    files = spark.createDataFrame([*texts.items(), ("null", None)], "path string, text string")
+
+    def flat(text):  # each character with the range of the text that it stands for
+        out, at = [], 0
+        for line in text.split("\n"):
+            kept = line.rstrip("\t\r \u00a0\u1680\u2028")
+            out += [(c.translate({0xA0: " ", 0x2019: "'", 0x2013: "-"}), at + i) for i, c in enumerate(kept)] + [("\n", at + len(line))]
+            at += len(line) + 1
+        return out[:-1]
+
+    def replaced(text, old, everywhere):
+        wanted, own = "".join(c for c, _ in flat(old)), flat(text)
+        s, spans = "".join(c for c, _ in own), []
+        at = s.find(wanted)
+        while at >= 0:
+            spans.append((own[at][1], own[at + len(wanted) - 1][1] + 1))
+            at = s.find(wanted, at + len(wanted))
+        out = text
+        for a, b in reversed(spans if everywhere else spans[:1]):
+            out = out[:a] + "<$1\\>" + out[b:]
+        return out, len(spans)
+
+    for old in (" a", "a", "'", "a \t\n", "\n\n", "\n a", "a\n", "-", "\ta", "$", "\\", "\U0001f600", "a\u00a0"):
+        for everywhere in (False, True):
+            got = edits.replace_fuzzy(files, old, "<$1\\>", everywhere)
+            assert not re.search("InPandas|InArrow|EvalPython", got._jdf.queryExecution().toString())
+            wanted = {p: replaced(t, old, everywhere) for p, t in texts.items() if old not in t}
+            assert {r.path: (r.new_text, r.hits) for r in got.collect()} == {p: w for p, w in wanted.items() if w[1]}
+    assert edits.replace_fuzzy(files, " \t", "x").count() == 0
+
+
 def test_requests_change_a_file_as_a_whole_or_not(spark):
     files = spark.createDataFrame([("a", "a1\nb2\nc3\n"), ("b", ""), ("c", "a\u2010b"), ("d", None), ("e", "q")], "path string, text string")
     h = T.short_hash

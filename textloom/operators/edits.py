@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import DASHES, QUOTES, WIDE, eol_majority, fuzzy, set_similarity, tokens
+from textloom.functions.text import DASHES, EDGES, QUOTES, WIDE, eol_majority, set_similarity, tokens
 
 SIMILAR, RELOCATE, SPAN = 0.3, 0.8, 50
 
@@ -171,40 +171,25 @@ _ASCII = str.maketrans({**dict.fromkeys(QUOTES[:4], "'"), **dict.fromkeys(QUOTES
 _EDGES = "\t\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
-def _fuzzy_places(text: str) -> tuple[str, list[int]]:
-    """``functions.text.fuzzy`` of a text, and where each of its characters stands in the text."""
-    out, places, at = [], [], 0
-    for line in text.split("\n"):
-        kept = line.rstrip(_EDGES)
-        out.append(kept.translate(_ASCII))
-        places += [*range(at, at + len(kept)), at + len(line)]
-        at += len(line) + 1
-    return "\n".join(out), places[:-1]
+def _fuzzy_pattern(old: str) -> str:
+    """A regular expression for what ``functions.text.fuzzy`` makes equal to ``old``; empty if that leaves nothing of it. White space at the end of
+    a line is passed only before a line break within ``old``: any other blank of it has more of its line behind it, so the text's has too."""
+    code = lambda c: rf"\x{{{ord(c):x}}}"
+    alike = {c: "[" + "".join(map(code, [c, *(chr(k) for k, v in _ASCII.items() if v == c)])) + "]" for c in "'\"- "}
+    wanted = "\n".join(line.rstrip(_EDGES).translate(_ASCII) for line in old.split("\n"))
+    return "".join((f"[{EDGES}]*+\n" if i else "\n") if c == "\n" else alike.get(c) or code(c) for i, c in enumerate(wanted))
 
 
 def replace_fuzzy(files: DataFrame, old: str, new: str, everywhere: bool = False) -> DataFrame:
     """(path, new_text, hits) of files that don't contain ``old`` but do if white space at the ends of lines, quotes, dashes and blanks are seen as alike: what stood
-    in the place of the hits, all or the first, is replaced, and nothing else in the file changes. Files are picked by built-in functions; Python
-    maps the hits of these back to the text."""
-    wanted = _fuzzy_places(old)[0]
-    some = files.where(~F.contains("text", F.lit(old)) & F.contains(fuzzy(F.col("text")), F.lit(wanted))) if wanted else files.limit(0)
-
-    def rows(batches):
-        for pdf in batches:
-            out = []
-            for path, text in zip(pdf["path"], pdf["text"]):
-                flat, places = _fuzzy_places(text)
-                spans, at = [], flat.find(wanted)
-                while at >= 0:
-                    spans.append((places[at], places[at + len(wanted) - 1] + 1))
-                    at = flat.find(wanted, at + len(wanted))
-                hits = len(spans)
-                for a, b in reversed(spans if everywhere else spans[:1]):
-                    text = text[:a] + new + text[b:]
-                out.append((path, text, hits))
-            yield pd.DataFrame(out, columns=["path", "new_text", "hits"])
-
-    return some.select("path", "text").mapInPandas(rows, "path string, new_text string, hits long")
+    in the place of the hits, all or the first, is replaced, and nothing else in the file changes."""
+    pattern = _fuzzy_pattern(old)
+    text = F.col("text")
+    some = files.where(~F.contains(text, F.lit(old)) & text.rlike(pattern)) if pattern else files.limit(0)
+    parts = F.split(text, pattern, 2)
+    # a backslash and a dollar sign are marks in what replaces a regular expression
+    out = F.regexp_replace(text, F.lit(pattern), F.lit(re.sub(r"([\\$])", r"\\\1", new))) if everywhere else F.concat(F.get(parts, F.lit(0)), F.lit(new), F.get(parts, F.lit(1)))
+    return some.select("path", out.alias("new_text"), F.regexp_count("text", F.lit(pattern)).cast("long").alias("hits"))
 
 
 def replace_text(files: DataFrame, old: str, new: str, everywhere: bool = False, fuzzily: bool = False) -> DataFrame:

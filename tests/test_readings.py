@@ -84,6 +84,30 @@ def test_window_counts_all_edits_and_ties_go_to_earlier_lines(spark):
     assert [r.near_line for r in edits.similar_lines(wanted, rows).orderBy("rank").collect()][:2] == [62, 63]
 
 
+def _near(spark):
+    """Wanted lines and lines of files of up to 160 lines, with repeated, empty and null ones, and the similarity of all pairs within 50."""
+    draw = random.Random(3)
+    text = lambda: draw.choice([None, "", " \t", *(draw.choice(" \u00a0\t").join(draw.choices("abcdefgh", k=draw.randrange(1, 9))) for _ in range(9))])
+    rows = [(f"f{n % 7}", i + 1, text()) for n, size in enumerate((1, 50, 51, 101, 160, 3, 3, 2)) for i in range(size)] + [(None, 1, "a b"), ("f0", None, "a b")]
+    wanted = [(f"f{draw.randrange(8)}", i // 2 * 2, draw.randrange(-60, 230), text()) for i in range(600)] + [(None, 900, 1, "a b"), ("f1", 901, None, "a b")]
+    found = {}
+    for p, e, at, w in wanted:
+        for q, line, t in rows:
+            if p is not None and p == q and None not in (at, line, w, t) and abs(at - line) <= 50:
+                a, b = ({x for x in re.split(r"[ \t\n\r\f\x0B]+", y) if x} for y in (w, t))
+                found.setdefault((p, e), []).append((-(len(a & b) / max(len(a), len(b)) if a and b else 0.0), line))
+    return spark.createDataFrame(wanted, "path string, edit_idx long, line int, old_text string"), spark.createDataFrame(rows, "path string, line int, text string"), found
+
+
+def test_similar_lines_are_those_of_all_pairs_and_no_join_makes_pairs(spark):
+    wanted, rows, found = _near(spark)
+    got = edits.similar_lines(wanted, rows)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert got.schema.simpleString() == "struct<path:string,edit_idx:bigint,rank:int,near_line:int,similarity:double>"
+    best = [(*k, i + 1, line, -s) for k, v in found.items() for i, (s, line) in enumerate(sorted(x for x in v if x[0] <= -0.3)[:3])]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(best)
+
+
 def test_fuzzy_replacement_keeps_the_rest(spark):
     files = spark.createDataFrame([("a", "say \u201chi\u201d \nthere\u00a0x\n\u2014"), ("b", 'say "hi"\nthere'), ("c", "none"), ("d", None)], "path string, text string")
     got = {r.path: (r.new_text, r.hits) for r in edits.replace_text(files, 'say "hi"\nthere', "bye", fuzzily=True).collect()}

@@ -7,13 +7,17 @@ insert_after. Lines have (path, line, hash, text).
 from __future__ import annotations
 
 import difflib
+import heapq
 import re
+from collections import deque
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import DASHES, EDGES, QUOTES, WIDE, eol_majority, set_similarity, tokens
+from textloom.functions.text import DASHES, EDGES, QUOTES, WIDE, eol_majority
+from textloom.operators.ordered import by_file
 
 SIMILAR, RELOCATE, SPAN = 0.3, 0.8, 50
 
@@ -39,25 +43,61 @@ def relocate(stale: DataFrame, rows: DataFrame, edits: DataFrame | None = None)
     return band.groupBy("path", "edit_idx", "line").agg(F.count("*").alias("n"), F.min("new_line").alias("new_line")).where("n = 1").drop("n")
 
 
-def _band(wanted: DataFrame, rows: DataFrame, column: str, least: float) -> DataFrame:
-    """Pairs of (path, edit_idx, line, ``column``) and lines within 50 of it: joined on path and bins of 50 lines. Each line is cut
-    into tokens once, before the join, and sets whose sizes alone rule out a similarity of ``least`` aren't compared."""
-    bins = wanted.withColumn("wanted_tokens", tokens(F.col(column))).withColumn("bin", F.explode(F.array(*(F.floor(F.col("line") / SPAN) + d for d in (-1, 0, 1)))))
-    near = rows.select("path", F.floor(F.col("line") / SPAN).alias("bin"), F.col("line").alias("near_line"), tokens(F.col("text")).alias("near_tokens"))
-    a, b = F.size("wanted_tokens"), F.size("near_tokens")
-    fits = (F.abs(F.col("near_line") - F.col("line")) <= SPAN) & (F.least(a, b) >= F.greatest(a, b) * F.lit(least))
-    return bins.join(near, ["path", "bin"]).where(fits).drop("bin").withColumn("similarity", set_similarity(F.col("wanted_tokens"), F.col("near_tokens")))
+def _beside(wanted: DataFrame, rows: DataFrame, schema: str, least: float, found: Callable[[list[tuple[float, int]]], Iterable[tuple]]) -> DataFrame:
+    """(path, edit_idx, *what ``found`` makes of [(similarity, near_line)]) for each of ``wanted`` (path, edit_idx, line, old_text), of the lines within 50 that
+    share ``least`` of their tokens. A file's lines pass in order, cut into tokens once; at any time only those within 50 of a wanted
+    one are held. Sets whose sizes alone rule ``least`` out aren't compared."""
+    near = rows.where("line is not null and text is not null").select("path", "line", F.lit(0).alias("want"), F.lit(None).cast(wanted.schema["edit_idx"].dataType).alias("edit_idx"), "text")
+    both = near.unionByName(wanted.where("line is not null and old_text is not null").select("path", "line", F.lit(1).alias("want"), "edit_idx", F.col("old_text").alias("text")))
+    cut = re.compile(r"[^ \t\n\r\f\x0B]+").findall
+
+    def work(group):
+        lines, waiting = deque(), deque()
+
+        def settle(before):
+            while waiting and (before is None or waiting[0][0] + SPAN < before):
+                line, edit_idx, want = waiting.popleft()
+                while lines and lines[0][0] < line - SPAN:
+                    lines.popleft()
+                n, hits = len(want), []
+                for at, have in lines:
+                    if at > line + SPAN:
+                        break
+                    few, many = (n, len(have)) if n < len(have) else (len(have), n)
+                    if few / many >= least and (shared := len(want & have) / many) >= least:
+                        hits.append((shared, at))
+                for x in found(hits):
+                    yield edit_idx, *x
+
+        for _, line, want, edit_idx, text in group:
+            yield from settle(line)
+            while lines and lines[0][0] < (waiting[0][0] if waiting else line) - SPAN:
+                lines.popleft()
+            if words := set(cut(text)):
+                waiting.append((line, edit_idx, words)) if want else lines.append((line, words))
+        yield from settle(None)
+
+    return by_file(both, ["line", "want"], work, f"path string, edit_idx {wanted.schema['edit_idx'].dataType.simpleString()}, {schema}")
 
 
 def relocate_fuzzy(wanted: DataFrame, rows: DataFrame) -> DataFrame:
     """(path, edit_idx, new_line) where exactly one line within 50 shares more than 0.8 of its tokens with ``old_text``."""
-    hits = _band(wanted, rows, "old_text", RELOCATE).where(F.col("similarity") > RELOCATE)
-    return hits.groupBy("path", "edit_idx").agg(F.count("*").alias("n"), F.min("near_line").alias("new_line")).where("n = 1").drop("n")
+
+    def first(hits):
+        places = [at for shared, at in hits if shared > RELOCATE]
+        return [(len(places), places[0])] if places else []
+
+    hits = _beside(wanted, rows, f"n long, near_line {rows.schema['line'].dataType.simpleString()}", RELOCATE, first)
+    return hits.groupBy("path", "edit_idx").agg(F.sum("n").alias("n"), F.min("near_line").alias("new_line")).where("n = 1").drop("n")
 
 
 def similar_lines(wanted: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
     """(path, edit_idx, rank, near_line, similarity): the most similar lines within 50, of 0.3 at least; earlier ones first at a tie."""
-    hits = _band(wanted, rows, "old_text", SIMILAR).where(F.col("similarity") >= SIMILAR)
+
+    def best(hits):
+        return heapq.nsmallest(most, ((-shared, at) for shared, at in hits))
+
+    hits = _beside(wanted, rows, f"away double, near_line {rows.schema['line'].dataType.simpleString()}", SIMILAR, best).withColumn("similarity", -F.col("away"))
     w = Window.partitionBy("path", "edit_idx").orderBy(F.desc("similarity"), "near_line")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("path", "edit_idx", "rank", "near_line", "similarity")
 

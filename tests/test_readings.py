@@ -108,6 +108,14 @@ def test_similar_lines_are_those_of_all_pairs_and_no_join_makes_pairs(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(best)
 
 
+def test_fuzzy_relocation_is_that_of_all_pairs_and_no_join_makes_pairs(spark):
+    wanted, rows, found = _near(spark)
+    got = edits.relocate_fuzzy(wanted, rows)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    hits = {k: [line for s, line in v if s < -0.8] for k, v in found.items()}
+    assert sorted(tuple(r) for r in got.collect()) == sorted((*k, v[0]) for k, v in hits.items() if len(v) == 1)
+
+
 def test_fuzzy_replacement_keeps_the_rest(spark):
     files = spark.createDataFrame([("a", "say \u201chi\u201d \nthere\u00a0x\n\u2014"), ("b", 'say "hi"\nthere'), ("c", "none"), ("d", None)], "path string, text string")
     got = {r.path: (r.new_text, r.hits) for r in edits.replace_text(files, 'say "hi"\nthere', "bye", fuzzily=True).collect()}

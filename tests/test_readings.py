@@ -65,6 +65,28 @@ def test_rename_conflicts_need_the_same_scope(spark):
     assert sorted(tuple(r) for r in parsing.rename_conflicts(files, at, "x").collect()) == [("a.py", 3, 5), ("a.py", 4, 12)]
 
 
+def test_bundles_of_nested_and_repeated_symbols_without_a_join(spark):
+    draw = random.Random(4)
+    word = lambda: draw.choice(["a", "b", "c", "d", "e", "f_1", "\u00e9", None])
+    marks = []
+    for i in range(240):
+        start = draw.choice([None, *range(90)])
+        marks.append((f"f{i % 23}", i // 23, draw.choice(["section", "block", "file", None]), word(), None, start, draw.choice([None, (start or 0) + draw.randrange(-2, 70)])))
+    marks += [("f0", 0, "section", "a", None, 1, 9), (None, 1, "section", "a", None, 1, 9)]
+    rows = [(f"f{i % 23}", draw.choice([None, *range(1, 100)]), draw.choice([None, "", *(draw.choice(" .\u00e9").join(draw.choices(["a", "b", "c", "f_1", "zz"], k=3)) for _ in range(6))])) for i in range(500)]
+    got = symbols.local_bundle(spark.createDataFrame(rows, "path string, line int, text string"), spark.createDataFrame(marks, SYMBOLS), "section", ["file"])
+    assert "Join" not in got._jdf.queryExecution().toString()
+    wanted = []
+    for p in sorted({m[0] for m in marks if m[0]}):
+        mine = [m for m in marks if m[0] == p]
+        named = {(m[1], t) for m in mine if m[2] == "section" and None not in m[3:4] + m[5:] for q, line, text in rows if q == p and None not in (line, text) and m[5] <= line <= m[6] for t in re.findall("[A-Za-z0-9_]+", text) if t != m[3]}
+        hits = [(i, t, o[1]) for i, t in named for o in mine if o[2] in ("section", "block") and o[3] == t]
+        many = {h[0] for h in hits if sum(x[:2] == h[:2] for x in hits) > 1}
+        wanted += [(p, i, used) for i, _, used in hits if i not in many]
+    assert len(wanted) > 9
+    assert sorted(tuple(r) for r in got.collect()) == sorted(wanted)
+
+
 def test_tree_of_any_depth(spark):
     rows = [("d", i, str(i), str(i - 1) if i else None) for i in range(9)] + [("d", 90, "u", "v"), ("d", 91, "v", "u"), ("d", 92, "w", "none")]
     nodes = spark.createDataFrame(rows, "doc_id string, position int, id string, parent_id string")

@@ -5,13 +5,15 @@ Symbol tables have (path, symbol_idx, kind, name, qualified_name, start_line, en
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import dedent, identifier_span, indentation, normalize, reindent
-from textloom.operators.identifiers import identifiers
+from textloom.operators.ordered import by_file
 
 BUCKETS = 256
 BIN = 64
@@ -154,14 +156,39 @@ def identify(rows: DataFrame, at: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def local_bundle(rows: DataFrame, symbols: DataFrame, kind: str, containers: list[str]) -> DataFrame:
     """(path, symbol_idx, used_idx): for each symbol of ``kind``, the other symbols of its file that its lines name. Containers don't
-    count; a symbol with any name that several symbols have gets none."""
-    tokens = identifiers(rows)
-    homes = _candidates(tokens, symbols.where(F.col("kind") == kind), ["symbol_idx", "name", "start_line", "end_line"])
-    named = homes.where("token <> s_name").select("path", F.col("s_symbol_idx").alias("symbol_idx"), "token").distinct()
-    others = symbols.where(~F.col("kind").isin(containers)).select("path", F.col("symbol_idx").alias("used_idx"), F.col("name").alias("token"))
-    hits = named.join(others, ["path", "token"])
-    many = hits.groupBy("path", "symbol_idx", "token").count().where("count > 1").select("path", "symbol_idx").distinct()
-    return hits.join(many, ["path", "symbol_idx"], "left_anti").select("path", "symbol_idx", "used_idx")
+    count; a symbol with any name that several symbols have gets none. A file's symbols are held while its lines pass in order."""
+    marks = symbols.select("path", F.lit(0).alias("part"), F.col("start_line").alias("line"), F.col("name").alias("text"), "symbol_idx", "end_line", (F.col("kind") == kind).alias("home"), (~F.col("kind").isin(containers)).alias("other"))
+    both = marks.unionByName(rows.where("line is not null and text is not null").select("path", F.lit(1).alias("part"), "line", "text"), allowMissingColumns=True)
+    cut = re.compile("[A-Za-z0-9_]+").findall
+
+    def work(group):
+        homes, at, inside = [], 0, []
+        others, named, unsure = defaultdict(list), defaultdict(set), set()
+        for _, part, line, text, symbol_idx, end_line, home, other in group:
+            if part == 0:  # all symbols come before the first line
+                if home and None not in (line, text, end_line):
+                    homes.append((line, end_line, symbol_idx, text))
+                if other and text is not None:
+                    others[text].append(symbol_idx)
+                continue
+            while at < len(homes) and homes[at][0] <= line:
+                inside.append(homes[at])
+                at += 1
+            inside = [h for h in inside if h[1] >= line]
+            words = {t for t in cut(text) if t in others} if inside else ()
+            for _, _, symbol_idx, name in inside:
+                for t in words:
+                    if t != name and len(others[t]) > 1:
+                        unsure.add(symbol_idx)
+                    elif t != name:
+                        named[symbol_idx].add(t)
+        for symbol_idx, words in named.items():
+            if symbol_idx not in unsure:
+                for t in words:
+                    yield symbol_idx, others[t][0]
+
+    of = symbols.schema["symbol_idx"].dataType.simpleString()
+    return by_file(both, ["part", "line"], work, f"path string, symbol_idx {of}, used_idx {of}")
 
 
 TIERS = (("full", 10), ("compact", 20), ("minimal", 25), ("outline", 50), ("truncated", 100))
